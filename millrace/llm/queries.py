@@ -11,6 +11,7 @@ from millrace.llm.decontamination import contamination
 from millrace.llm.exact_dedup import exact_duplicates
 from millrace.llm.ngram_join import near_duplicate_groups
 from millrace.llm.packing import packed
+from millrace.llm.substring_dedup import without_repeats
 from millrace.llm.token_counts import token_counts
 from millrace.llm.token_files import token_files
 
@@ -36,6 +37,11 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packed(_documents(spark, sf_dir), length=2048, end_id=1)
 
 
+def op6_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    cut = without_repeats(_documents(spark, sf_dir), width=13)
+    return cut.select("doc_id", "n_words", "n_removed", F.sha2("text", 256).alias("kept_sha256"))
+
+
 def op7_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(_documents(spark, sf_dir), with_digest=True)
 
@@ -44,7 +50,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), limit=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op7_exact_dedup, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
@@ -76,6 +82,17 @@ ORACLES: dict[str, str] = {
         reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT reach.x, links.y FROM reach JOIN links ON links.x = reach.y)
         SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, component_id
         FROM d LEFT JOIN sizes USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) USING (doc_id)""",
+    "op6_substring_dedup": r"""
+        WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+        placed AS (
+            SELECT doc_id, i, array_to_string(w[i:i + 12], ' ') AS g
+            FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+        firsts AS (SELECT g, min(doc_id) AS least FROM placed GROUP BY g),
+        gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS p FROM placed JOIN firsts USING (g) WHERE least < doc_id),
+        lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1)
+        SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(len(ps), 0)::BIGINT AS n_removed,
+               sha256(array_to_string(CASE WHEN ps IS NULL THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(ps, i)) END, ' ')) AS kept_sha256
+        FROM d LEFT JOIN lists USING (doc_id)""",
     "op7_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256
