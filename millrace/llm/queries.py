@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontamination import contamination
 from millrace.llm.exact_dedup import exact_duplicates
+from millrace.llm.language_id import fit as fit_language_id
 from millrace.llm.ngram_join import near_duplicate_groups
 from millrace.llm.packing import packed
 from millrace.llm.substring_dedup import without_repeats
@@ -20,6 +21,11 @@ def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return fit_language_id(docs).identify(docs)
+
+
 def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = contamination(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
     return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"), "contaminated")
@@ -50,7 +56,7 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), limit=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
