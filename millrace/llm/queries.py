@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from millrace.llm.decontamination import contamination
 from millrace.llm.exact_dedup import exact_duplicates
 from millrace.llm.language_id import fit as fit_language_id
+from millrace.llm.lm_scoring import scored
+from millrace.llm.lm_scoring import train as train_scorer
 from millrace.llm.ngram_join import near_duplicate_groups
 from millrace.llm.packing import packed
 from millrace.llm.substring_dedup import without_repeats
@@ -56,7 +58,12 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(_documents(spark, sf_dir), limit=2048)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts)}
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _documents(spark, sf_dir)
+    return scored(docs, train_scorer(docs))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts, op9_lm_scoring)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
