@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.decontamination import contamination
 from millrace.llm.exact_dedup import exact_duplicates
+from millrace.llm.html_extraction import extracted
 from millrace.llm.language_id import fit as fit_language_id
 from millrace.llm.lm_scoring import scored
 from millrace.llm.lm_scoring import train as train_scorer
@@ -63,7 +64,11 @@ def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored(docs, train_scorer(docs))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts, op9_lm_scoring)}
+def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extracted(spark.read.parquet(f"{sf_dir}/pages.parquet"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_language_id, op2_decontamination, op3_ngram_join, op4_token_files, op5_packing, op6_substring_dedup, op7_exact_dedup, op8_token_counts, op9_lm_scoring, op10_html_extraction)}
 
 _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
