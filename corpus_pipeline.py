@@ -4,16 +4,46 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from millrace.llm.decontamination import decontaminated
+from millrace.llm.exact_dedup import without_exact_duplicates
+from millrace.llm.language_id import fit
+from millrace.llm.ngram_join import without_near_duplicates
 from millrace.llm.packing import packed
 from millrace.llm.shared import saved
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose language the compression classifier names with a clear margin."""
+    return fit(docs).accepted(docs)
+
+
+def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts the one with the largest id."""
+    return without_exact_duplicates(docs)
+
+
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group linked by a Jaccard similarity of 0.8 of five-word shingles the one with the smallest id."""
+    return without_near_duplicates(docs, width=5, threshold=80)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a 10-word window of the benchmark."""
+    return decontaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"), window=10)
+
+
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document's tokens in sequences of at most 2048."""
     return packed(docs, length=2048, end_id=1)
 
 
-STAGES = [("packing", pack_sequences)]
+STAGES = [
+    ("language ID", identify_language),
+    ("exact dedup", drop_exact_copies),
+    ("n-gram Jaccard join", drop_near_copies),
+    ("benchmark decontamination", drop_contaminated),
+    ("packing", pack_sequences),
+]
 
 #: Language ID by compression and packing are not expressible in SQL; the tests hold the run against a brute-force version.
 ORACLE_SQL = None
