@@ -46,7 +46,7 @@ def exact_duplicates(docs: DataFrame, *, with_digest: bool = False, id_col: str
         survivors = hashed.join(heads, ["n_bytes", "head"], "left_semi") if heads.count() > BROADCAST_GROUPS else hashed.join(F.broadcast(heads), ["n_bytes", "head"], "left_semi")
     elif heads.count() <= BROADCAST_GROUPS:
         marked = rows.join(F.broadcast(heads.withColumn("again", F.lit(True))), ["n_bytes", "head"], "left")
-        hashed = marked.select("doc_id", "n_bytes", F.when("again", digest).alias("digest"))
+        hashed = marked.select("doc_id", "n_bytes", F.when(F.col("again"), digest).alias("digest"))
         survivors = hashed.filter(F.col("digest").isNotNull())
     else:
         hashed = rows.select("doc_id", "n_bytes", "head", digest.alias("digest"))
