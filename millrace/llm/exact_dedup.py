@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from millrace.llm.shared import saved
+
 #: Most (length, prefix hash) groups that are broadcast; more of them are joined by a shuffle of narrow rows.
 BROADCAST_GROUPS = 1 << 20
 #: Characters that the prefix hash covers.
@@ -37,14 +39,21 @@ def exact_duplicates(docs: DataFrame, *, with_digest: bool = False, id_col: str
     Null ids lose to any other; where a group has only null ids, all are kept.
     An empty table gives an empty one.  Other columns are not read.
     """
+    flags = _flagged(docs, with_digest, id_col, text_col)
+    return flags.select("doc_id", "keep_id", "group_size", "kept", *([F.col("digest").alias("text_sha256")] if with_digest else []))
+
+
+def _flagged(docs: DataFrame, all_digests: bool, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, digest (null where no other text has its length and head, unless all are asked for), keep_id, group_size, kept."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("head"))
-    heads = _surviving(rows.select("n_bytes", "head"))
+    heads = saved(_surviving(rows.select("n_bytes", "head")))
+    few = heads.count() <= BROADCAST_GROUPS
     digest = F.sha2("text", 256)
-    if with_digest:
+    if all_digests:
         hashed = rows.select("doc_id", "n_bytes", "head", digest.alias("digest"))
-        survivors = hashed.join(heads, ["n_bytes", "head"], "left_semi") if heads.count() > BROADCAST_GROUPS else hashed.join(F.broadcast(heads), ["n_bytes", "head"], "left_semi")
-    elif heads.count() <= BROADCAST_GROUPS:
+        survivors = hashed.join(F.broadcast(heads) if few else heads, ["n_bytes", "head"], "left_semi")
+    elif few:
         marked = rows.join(F.broadcast(heads.withColumn("again", F.lit(True))), ["n_bytes", "head"], "left")
         hashed = marked.select("doc_id", "n_bytes", F.when(F.col("again"), digest).alias("digest"))
         survivors = hashed.filter(F.col("digest").isNotNull())
@@ -55,17 +64,17 @@ def exact_duplicates(docs: DataFrame, *, with_digest: bool = False, id_col: str
     out = hashed.select("doc_id", "n_bytes", "digest").join(groups, ["n_bytes", "digest"], "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
-    columns = [F.col("doc_id"), keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept")]
-    return out.select(*columns, *([F.col("digest").alias("text_sha256")] if with_digest else []))
+    return out.select("doc_id", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def without_exact_duplicates(docs: DataFrame, *, broadcast_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents that exact_duplicates() keeps, with all their columns.
 
-    The ids to drop are broadcast while they are few; beyond that they are joined
-    by a shuffle.  Rows with a null id are dropped with the group they lose in.
+    What is dropped is told by id and digest, broadcast while it is little and
+    joined by a shuffle beyond that; rows with a null id go with the group they lose in.
     """
-    flags = exact_duplicates(docs, id_col=id_col, text_col=text_col).filter(~F.col("kept"))
-    drop = flags.select(F.col("doc_id").alias("_drop_id")).distinct()
-    side = F.broadcast(drop) if drop.count() <= broadcast_ids else drop
-    return docs.join(side, docs[id_col] == side["_drop_id"], "left_anti")
+    lost = _flagged(docs, False, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"))
+    lost = saved(lost.distinct())
+    side = F.broadcast(lost) if lost.count() <= broadcast_ids else lost
+    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
+    return docs.join(side, docs[id_col].eqNullSafe(side["_lost_id"]) & (digest == side["_lost_digest"]), "left_anti")

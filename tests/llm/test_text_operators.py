@@ -172,6 +172,11 @@ def test_exact_duplicates(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {d for d, v in got.items() if v[2]}
 
 
+def test_one_id_with_two_texts(spark):
+    df = spark.createDataFrame([(1, "a"), (1, "b"), (2, "a")], "doc_id long, text string")
+    assert sorted(map(tuple, without_exact_duplicates(df).collect())) == [(1, "b"), (2, "a")]
+
+
 def test_null_ids_and_repeated_rows(spark):
     rows = [(None, "a b c d"), (None, "a b c d"), (1, "a b c d"), (1, "a b c d"), (2, "z")]
     df = spark.createDataFrame(rows, "doc_id long, text string")
