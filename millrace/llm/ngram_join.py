@@ -2,13 +2,15 @@
 
 A document's set of word n-grams is a set of 64-bit hashes.  Two documents of n and
 m grams link when 100 * intersection >= threshold * union.  Candidates share one of
-the rarest grams of both (prefix filter), fit in length, and can still reach the
-overlap from the position of their first common gram (positional filter) and from
-how their sets spread over fixed ranges of hashes (suffix filter); each pair that is
-left is verified once on the full sets.
-
-No group is ever expanded into all its pairs.  A round pairs each prefix gram's
-documents with one hub of theirs; what is verified merges into one component.
+the rarest grams of both (prefix filter), fit in length, have as many
+of these rare grams in common as the overlap asks for, and can still reach it from the
+position of the first one (positional filter) and from how their sets spread over
+fixed ranges of hashes (suffix filter); each pair that is left is verified once on
+the full sets.
+
+No group is ever expanded into all its pairs.  Each prefix gram has one hub among
+its documents, and a round tries every document with the hub that it has most grams
+in common with; what is verified merges into one component.
 Documents outside their hub's component go through further rounds with hubs of
 their own, and what then remains is compared with every document that shares a
 prefix gram and belongs to another component.  That last step leaves no untested
@@ -30,14 +32,18 @@ from millrace.llm.components import components
 from millrace.llm.shared import saved
 from millrace.llm.textcore import buffer_of, mix, slices, window_hashes, words
 
-#: Size of the table of gram counts that is sent to every worker: fixed, whatever the corpus.
-BUCKETS = 1 << 17
+#: Size of the table of gram counts that is sent to every worker (a byte each): fixed, whatever the corpus.
+BUCKETS = 1 << 25
+#: Parts in which tasks hand over their counts, and how many tasks' parts one task adds up.
+PARTS, FAN_IN = 64, 256
 #: Ranges of hashes that the suffix filter compares.
 RANGES = 32
 #: Most document ids that are broadcast; more are joined by a shuffle.
 BROADCAST_DOCS = 1 << 20
 #: Rounds with hubs at most before the rest is compared with all; it is at once where that makes at most DIRECT comparisons a posting.
-ROUNDS, DIRECT = 4, 4
+ROUNDS, DIRECT = 3, 32
+#: How often hubs of hubs are followed between rounds; what that leaves apart is only compared again.
+JUMPS = 3
 
 
 def gram_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -77,25 +83,60 @@ class _Corpus:
     threshold: int
 
 
+_COUNTS = "part int, task long, counts binary"
+
+
+def _added(table: pa.Table) -> np.ndarray:
+    """The sum of packed counts."""
+    import zstandard
+
+    total = np.zeros(BUCKETS // PARTS, dtype=np.uint32)
+    for raw in table.column("counts"):
+        total += np.frombuffer(zstandard.decompress(raw.as_buffer()), dtype=np.uint32)
+    return total
+
+
 def _bucket_counts(c: _Corpus) -> np.ndarray:
-    """How often grams of each bucket occur in all documents."""
+    """How many documents have a gram of each bucket, over all documents, as a byte that grows with the logarithm.
+
+    Tasks hand over packed arrays that are added up in a tree, so what one task
+    holds is bounded, and the driver gets BUCKETS bytes.
+    """
     width = c.width
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(BUCKETS, dtype=np.int64)
+        import zstandard
+        from pyspark import TaskContext
+
+        total, any_text = np.zeros(BUCKETS, dtype=np.uint16), False
         for batch in batches:
             data, offsets = buffer_of(batch.column(0))
             for a, b in slices(offsets):
                 grams, _ = gram_sets(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], width)
-                total += np.bincount((grams & np.uint64(BUCKETS - 1)).astype(np.int64), minlength=BUCKETS)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(total[used])], names=["bucket", "n"])
+                bucket, n = np.unique((grams & np.uint64(BUCKETS - 1)).astype(np.int64), return_counts=True)
+                total[bucket] = np.minimum(total[bucket] + n, 65535)
+                any_text |= len(grams) > 0
+        if any_text:
+            task, pack = TaskContext.get().partitionId(), zstandard.ZstdCompressor(level=1).compress
+            yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array([task] * PARTS, pa.int64()), pa.array([pack(x.astype(np.uint32).tobytes()) for x in total.reshape(PARTS, -1)], pa.binary())], names=["part", "task", "counts"])
+
+    def add(table: pa.Table) -> pa.Table:
+        import zstandard
+
+        packed = zstandard.ZstdCompressor(level=1).compress(_added(table).tobytes())
+        return pa.table({"part": table.column("part")[:1], "task": pa.array([table.column("task")[0].as_py() // FAN_IN], pa.int64()), "counts": pa.array([packed], pa.binary())})
 
-    rows = c.docs.select("text").mapInArrow(count, "bucket int, n long").groupBy("bucket").agg(F.sum("n").alias("n"))
-    table = np.zeros(BUCKETS, dtype=np.int64)
-    got = rows.toPandas()
-    table[got["bucket"].to_numpy()] = got["n"].to_numpy()
-    return table
+    def level(table: pa.Table) -> pa.Table:
+        steps = np.minimum(255, np.round(8 * np.log2(_added(table) + 1.0))).astype(np.uint8)
+        return pa.table({"part": table.column("part")[:1], "task": pa.array([0], pa.int64()), "counts": pa.array([steps.tobytes()], pa.binary())})
+
+    counted, n = c.docs.select("text").mapInArrow(count, _COUNTS), c.docs.rdd.getNumPartitions()
+    while n > FAN_IN:
+        counted, n = counted.groupBy("part", F.floor(F.col("task") / FAN_IN)).applyInArrow(lambda key, table: add(table), _COUNTS), -(-n // FAN_IN)
+    table = np.zeros((PARTS, BUCKETS // PARTS), dtype=np.uint8)
+    for r in counted.groupBy("part").applyInArrow(level, _COUNTS).collect():
+        table[r.part] = np.frombuffer(r.counts, dtype=np.uint8)
+    return table.ravel()
 
 
 _SIGNED = T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("n", T.LongType()), T.StructField("sign", T.LongType()), T.StructField("sign2", T.LongType()), T.StructField("prefix", T.ArrayType(T.LongType())), T.StructField("spread", T.ArrayType(T.IntegerType()))])
@@ -159,7 +200,7 @@ def _close(threshold: int) -> Column:
 
 
 def _verified(c: _Corpus, pairs: DataFrame) -> DataFrame:
-    """Of (x, y, n, m) those whose full sets reach the threshold: x, y."""
+    """Of (x, y, n, m) those whose full sets reach the threshold: x, y as they are."""
     pairs = saved(pairs.select("x", "y", "n", "m"))
     ids = pairs.select(F.explode(F.array("x", "y")).alias("doc_id")).distinct()
     sets = saved(_sets(c, saved(ids)))
@@ -178,22 +219,43 @@ def _order(seed: int) -> Column:
 def _fits(threshold: int) -> Column:
     """Length and positional filter of (n, m, i, j): the common grams lie from i and j on."""
     reach = F.least(F.col("n") - F.col("i"), F.col("m") - F.col("j"))
-    return (F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold) & (reach >= _needed(F.col("n"), F.col("m"), threshold))
+    return _fits_alone(threshold) & (reach >= _needed(F.col("n"), F.col("m"), threshold))
+
+
+def _fits_alone(threshold: int) -> Column:
+    """Length filter of (n, m)."""
+    return F.least("n", "m") * 100 >= F.greatest("n", "m") * threshold
 
 
-def _hub_pairs(postings: DataFrame, seed: int) -> DataFrame:
-    """Each document of a gram with the gram's hub (x: the hub); postings has gram, doc, n, at, spread."""
-    hubs = postings.groupBy("gram").agg(F.min(F.struct(_order(seed).alias("o"), "doc", "n", "at")).alias("hub"), F.count("*").alias("k")).filter("k > 1")
-    hubs = hubs.select("gram", F.col("hub.doc").alias("x"), F.col("hub.n").alias("n"), F.col("hub.at").alias("i"))
+def _hub_pairs(postings: DataFrame, seed: int, threshold: int) -> DataFrame:
+    """For each document the one hub, of those of its grams, with which it has the most grams in common and may link; postings has gram, doc, n, at."""
+    hubs = postings.groupBy("gram").agg(F.min(F.struct(_order(seed).alias("o"), "doc", "n", "at")).alias("hub"))
+    hubs = hubs.select("gram", F.col("hub.doc").alias("x"), F.col("hub.n").alias("n"), F.col("hub.at").alias("i"), F.col("hub.o").alias("o"))
     met = postings.select("gram", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("at").alias("j")).join(hubs, "gram").filter("x != y")
-    return _once(met)
+    pairs = met.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("i").alias("i"), F.min("j").alias("j"), F.first("o").alias("o"), F.count("*").alias("c")).filter(_fits(threshold))
+    best = pairs.groupBy("y").agg(F.min(F.struct((-F.col("c")).alias("c"), "o", "x", "n", "m", "i", "j")).alias("b"))
+    return best.select("y", *(F.col(f"b.{k}").alias(k) for k in ("x", "n", "m", "i", "j")))
 
 
 def _once(met: DataFrame) -> DataFrame:
-    """One row for each pair: the smallest positions are those of its first common gram."""
+    """One row for each pair: the smallest positions are those of its first common gram, c counts the common ones."""
     flip = F.col("x") > F.col("y")
-    ordered = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), *(F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("n", "m"), ("m", "n"), ("i", "j"), ("j", "i"))))
-    return ordered.groupBy("x", "y").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("i").alias("i"), F.min("j").alias("j"))
+    ordered = met.select(F.least("x", "y").alias("x"), F.greatest("x", "y").alias("y"), "gram", *(F.when(flip, F.col(b)).otherwise(F.col(a)).alias(a) for a, b in (("n", "m"), ("m", "n"), ("i", "j"), ("j", "i"))))
+    return ordered.distinct().groupBy("x", "y").agg(F.first("n").alias("n"), F.first("m").alias("m"), F.min("i").alias("i"), F.min("j").alias("j"), F.count("*").alias("c"))
+
+
+def _shares_enough(threshold: int) -> Column:
+    """Of sets that link, the prefixes have needed - ceil(threshold * larger) + 1 grams in common, since they are that much longer than one common gram takes."""
+    return F.col("c") > _needed(F.col("n"), F.col("m"), threshold) - F.ceil(F.greatest("n", "m") * threshold / F.lit(100) - F.lit(1e-9))
+
+
+def _hung(links: DataFrame) -> DataFrame:
+    """node, component: the end of each document's chain of hubs (x of y), as far as JUMPS doublings follow it."""
+    up = links.groupBy(F.col("y").alias("node")).agg(F.min("x").alias("component"))
+    for _ in range(JUMPS):
+        over = up.select(F.col("node").alias("_n"), F.col("component").alias("_c"))
+        up = up.join(over, F.col("component") == F.col("_n"), "left").select("node", F.coalesce("_c", "component").alias("component"))
+    return up
 
 
 def _with_spread(pairs: DataFrame, reps: DataFrame) -> DataFrame:
@@ -225,29 +287,26 @@ def near_duplicate_groups(docs: DataFrame, *, width: int = 5, threshold: int = 8
     key = ["n", "sign", "sign2"]
     reps = saved(signed.groupBy(*key).agg(F.min("doc_id").alias("doc"), F.first("spread").alias("spread"), F.first("prefix").alias("prefix")))
     postings = reps.select("doc", F.col("n"), F.posexplode("prefix").alias("at", "gram")).select("gram", "doc", "n", F.col("at").cast("long").alias("at"))
-    links = saved(_tested(c, _hub_pairs(postings, 0), reps))
-    labels = components(links)
     often = postings.groupBy("gram").agg(F.count("*").alias("k")).filter("k > 1")
     shared = saved(postings.join(often, "gram"))
     met_rows = shared.count()
+    links = saved(_tested(c, _hub_pairs(shared, 0, threshold), reps))
     for seed in range(1, ROUNDS + 1):
-        placed = shared.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
+        placed = shared.join(saved(_hung(links)).withColumnRenamed("node", "doc"), "doc", "left").withColumn("component", F.coalesce("component", "doc"))
         hubs = placed.groupBy("gram").agg(F.min(F.struct(_order(0).alias("o"), "component")).alias("h")).select("gram", F.col("h.component").alias("main"))
         rest = saved(placed.join(hubs, "gram").filter("component != main").drop("main"))
         cost = rest.agg(F.sum("k")).first()[0]
         if cost is None:
             break
-        last = seed == ROUNDS or cost <= DIRECT * met_rows
-        if last:
-            own = rest.select("gram", F.col("doc").alias("x"), "n", F.col("at").alias("i"), F.col("component").alias("cx"))
-            other = placed.select("gram", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("component").alias("cy"))
-            met = _once(own.join(other, "gram").filter((F.col("cx") != F.col("cy")) & _fits(threshold)))
-        else:
-            met = _hub_pairs(rest, seed)
-        links = saved(links.unionByName(_tested(c, met, reps)))
-        labels = components(links)
-        if last:
-            break
+        if seed < ROUNDS and cost > DIRECT * met_rows:
+            links = saved(links.unionByName(_tested(c, _hub_pairs(rest, seed, threshold), reps)))
+            continue
+        own = rest.select("gram", F.col("doc").alias("x"), "n", F.col("at").alias("i"), F.col("component").alias("cx"))
+        other = placed.select("gram", F.col("doc").alias("y"), F.col("n").alias("m"), F.col("at").alias("j"), F.col("component").alias("cy"))
+        met = _once(own.join(other, "gram").filter((F.col("cx") != F.col("cy")) & _fits_alone(threshold))).filter(_shares_enough(threshold))
+        links = links.unionByName(_tested(c, met, reps))
+        break
+    labels = components(links)
     named = reps.join(labels.select(F.col("node").alias("doc"), "component"), "doc", "left").select(*key, F.coalesce("component", "doc").alias("component_id"))
     flags = all_signed.select("doc_id", *key).join(named, key, "left")
     own = F.when(F.col("doc_id").isNull(), F.lit(None)).when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id"))
