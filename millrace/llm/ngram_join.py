@@ -33,7 +33,7 @@ from millrace.llm.shared import saved
 from millrace.llm.textcore import buffer_of, mix, slices, window_hashes, words
 
 #: Size of the table of gram counts that is sent to every worker (a byte each): fixed, whatever the corpus.
-BUCKETS = 1 << 25
+BUCKETS = 1 << 24
 #: Parts in which tasks hand over their counts, and how many tasks' parts one task adds up.
 PARTS, FAN_IN = 64, 256
 #: Ranges of hashes that the suffix filter compares.
