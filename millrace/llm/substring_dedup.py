@@ -24,10 +24,6 @@ from pyspark.sql import types as T
 from millrace.llm.shared import saved
 from millrace.llm.textcore import buffer_of, mix, ragged, slices, window_hashes, words
 
-#: Most rows, and most entries in their lists, of a side that is broadcast; larger ones are joined by a shuffle.
-BROADCAST_ROWS, BROADCAST_ENTRIES = 1 << 19, 1 << 21
-
-
 def _bases(h: np.ndarray, bounds: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(bases' hashes at all word positions, start of every window, position of the base that it chose)."""
     k = (width + 1) // 2
@@ -80,13 +76,8 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _attached(docs: DataFrame, side: DataFrame, how: str) -> DataFrame:
-    """docs joined with per-document lists: side has doc_id, print and lists."""
-    entries = sum(F.size(c) for c, t in side.dtypes if t.startswith("array"))
-    rows, total = side.agg(F.count("*"), F.sum(entries)).first()
-    small = rows <= BROADCAST_ROWS and (total or 0) <= BROADCAST_ENTRIES
-    if not small and how == "inner" and rows <= 4 * BROADCAST_ROWS:
-        docs = docs.join(F.broadcast(side.select("doc_id", "print")), ["doc_id", "print"], "left_semi")
-    return docs.join(F.broadcast(side) if small else side, ["doc_id", "print"], how)
+    """docs joined with per-document lists (doc_id, print, lists); what is joined grows with the corpus, so it is never broadcast."""
+    return docs.join(side.hint("shuffle_merge"), ["doc_id", "print"], how)
 
 
 def _level1(docs: DataFrame, width: int) -> DataFrame:
