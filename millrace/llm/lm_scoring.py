@@ -5,12 +5,17 @@ word there; a document's score is the sum of these conditional log-probabilities
 over all its words.  The network is trained with numpy on every document: each task
 descends on its own rows from the shared weights, and the tasks' weights are averaged
 in a tree, so neither rows nor one task's share ever meet on the driver.
+
+The network's vocabulary grows with the input.  A word outside it is scored as its
+bucket's probability times the word's share of the bucket, (n or 1) / (bucket's
+words + 1) with the counts of all documents: the bucket's sum with one unseen word is 1.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -18,12 +23,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.textcore import HashMap, buffer_of, slices, words
+from millrace.llm.shared import shared_dir
+from millrace.llm.textcore import HashMap, buffer_of, mix, slices, words
 
-#: Words of the vocabulary: CLASSES of CLASS_SIZE, of which one is the border of a text and OTHERS are hashed rare words.
-CLASSES, CLASS_SIZE, OTHERS = 32, 32, 64
+#: The smallest vocabulary: CLASSES of CLASS_SIZE, of which one is the border of a text and a sixteenth, rounded down to a power of two, are buckets of hashed rare words.
+CLASSES, CLASS_SIZE = 32, 32
 VOCABULARY = CLASSES * CLASS_SIZE
-KNOWN = VOCABULARY - OTHERS - 1
+#: Classes, and words in each, for the fourth root of the number of words: the vocabulary grows with its square root.
+GROWTH = 2 / 3
+#: How many words' counts go to every worker at most; the others' are joined.
+COUNTED = 1 << 16
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE = 16, 8192, 0.1
 #: How many tasks' weights one task averages.
@@ -33,14 +42,15 @@ FAN_IN = 16
 def _initial(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     """Weights that predict the words' frequencies whatever stands around."""
     rng = np.random.default_rng(seed)
-    share = (counts + 1.0).reshape(CLASSES, CLASS_SIZE)
+    side = math.isqrt(len(counts))
+    share = (counts + 1.0).reshape(side, side)
     by_class = share.sum(axis=1)
     out = {
-        "seen": rng.normal(0, 0.3, (len(OFFSETS), VOCABULARY, WIDTH)),
+        "seen": rng.normal(0, 0.3, (len(OFFSETS), len(counts), WIDTH)),
         "bias": np.zeros(WIDTH),
-        "to_class": rng.normal(0, 0.1, (WIDTH, CLASSES)),
+        "to_class": rng.normal(0, 0.1, (WIDTH, side)),
         "class_bias": np.log(by_class / by_class.sum()),
-        "to_word": rng.normal(0, 0.1, (CLASSES, CLASS_SIZE, WIDTH)),
+        "to_word": rng.normal(0, 0.1, (side, side, WIDTH)),
         "word_bias": np.log(share / by_class[:, None]),
     }
     return {k: v.astype(np.float32) for k, v in out.items()}
@@ -55,8 +65,8 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _segment_sum(ids: np.ndarray, values: np.ndarray) -> np.ndarray:
-    out = np.zeros((VOCABULARY, values.shape[1]), dtype=np.float32)
+def _segment_sum(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((size, values.shape[1]), dtype=np.float32)
     order = np.argsort(ids, kind="stable")
     own = ids[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
@@ -71,19 +81,20 @@ def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gr
     for k in range(1, len(OFFSETS)):
         h += w["seen"][k][around[k]]
     np.tanh(h, out=h)
-    cls, own = np.divmod(target.astype(np.int64), CLASS_SIZE)
+    classes, class_size, _ = w["to_word"].shape
+    cls, own = np.divmod(target.astype(np.int64), class_size)
     rows = np.arange(n)
     p = _softmax(h @ w["to_class"] + w["class_bias"])
     log_p = np.log(np.maximum(p[rows, cls], 1e-30))
-    order = np.argsort(cls.astype(np.uint8), kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=CLASSES))])
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))])
     sorted_h, sorted_own = h[order], own[order]
     within = np.empty(n, dtype=np.float32)
     grads: dict[str, np.ndarray] = {}
     if gradient:
         back = np.empty_like(sorted_h)
         grads["to_word"], grads["word_bias"] = np.zeros_like(w["to_word"]), np.zeros_like(w["word_bias"])
-    for c in range(CLASSES):
+    for c in range(classes):
         a, b = bounds[c], bounds[c + 1]
         if a == b:
             continue
@@ -104,48 +115,86 @@ def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gr
         to_h *= 1 - h * h
         to_h /= n
         grads["bias"] = to_h.sum(axis=0)
-        grads["seen"] = np.stack([_segment_sum(around[k], to_h) for k in range(len(OFFSETS))])
+        grads["seen"] = np.stack([_segment_sum(around[k], to_h, w["seen"].shape[1]) for k in range(len(OFFSETS))])
     return log_p, grads
 
 
 @dataclass
 class Scorer:
-    """A vocabulary (hashes of the frequent words, the most frequent first) and the network's weights."""
+    """Frequent words and the network's weights.
+
+    vocabulary: hashes of the frequent words, the most frequent first; as many as fit have an id of their own.
+    counts: how often each of them was seen; in_bucket: words seen in each bucket; table: all words' counts as Parquet.
+    Without counts, a word outside the vocabulary has its bucket's probability.
+    """
 
     vocabulary: np.ndarray
     weights: dict[str, np.ndarray]
+    counts: np.ndarray | None = None
+    in_bucket: np.ndarray | None = None
+    table: str | None = None
     _map: HashMap | None = None
 
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_map": None}
 
-    def ids(self, hashes: np.ndarray) -> np.ndarray:
+    @property
+    def size(self) -> int:
+        return self.weights["seen"].shape[1]
+
+    def found(self, hashes: np.ndarray) -> np.ndarray:
+        """Each word's place among the frequent ones, or -1."""
         if self._map is None:
             self._map = HashMap(13)
             self._map.add(self.vocabulary)
-        found = self._map.find(hashes).astype(np.int64)
-        rare = VOCABULARY - OTHERS + (hashes % np.uint64(OTHERS)).astype(np.int64)
-        return np.where(found >= 0, found + 1, rare).astype(np.uint16)
+        return self._map.find(hashes).astype(np.int64)
+
+    def ids(self, hashes: np.ndarray, found: np.ndarray) -> np.ndarray:
+        others = _buckets(self.size)
+        rare = self.size - others + (hashes % np.uint64(others)).astype(np.int64)
+        return np.where((found >= 0) & (found < self.size - others - 1), found + 1, rare).astype(np.int32)
 
     def positions(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids with two borders around every text, where the words stand in them, words of each text)."""
+        return self._placed(data, offsets)[:3]
+
+    def _placed(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(positions, and the words' hashes and places among the frequent ones)."""
         w = words(data, offsets, lower=True)
         n = np.diff(w.bounds)
         where = np.arange(len(w.hashes)) + 2 * (1 + np.repeat(np.arange(len(n)), n))
-        row = np.zeros(len(w.hashes) + 2 * (len(n) + 1), dtype=np.uint16)
-        row[where] = self.ids(w.hashes)
-        return row, where, n
+        row = np.zeros(len(w.hashes) + 2 * (len(n) + 1), dtype=np.int32)
+        found = self.found(w.hashes)
+        row[where] = self.ids(w.hashes, found)
+        return row, where, n, w.hashes, found
 
     def log_probabilities(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(sum over each text's words, number of them)."""
-        row, where, n = self.positions(data, offsets)
+        """(sum over each text's words, number of them); a word outside the frequent ones counts as seen once."""
+        return self._sums(data, offsets)[:2]
+
+    def _sums(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(log_probabilities, and the text and hash of each word that stands outside the frequent ones)."""
+        row, where, n, hashes, found = self._placed(data, offsets)
         out = np.empty(len(where))
         for a in range(0, len(where), BATCH):
             at = where[a : a + BATCH]
             out[a : a + BATCH] = network(self.weights, np.stack([row[at + k] for k in OFFSETS]), row[at], False)[0]
+        rest = np.flatnonzero(found < 0)
+        if self.counts is not None:
+            first = self.size - len(self.in_bucket)
+            ids = row[where]
+            bucketed = np.flatnonzero(ids >= first)
+            out[bucketed] -= np.log(self.in_bucket + 1.0)[ids[bucketed] - first]
+            counted = bucketed[found[bucketed] >= 0]
+            out[counted] += np.log(self.counts[found[counted]])
         sums = np.concatenate([[0.0], np.cumsum(out)])
         bounds = np.concatenate([[0], np.cumsum(n)])
-        return sums[bounds[1:]] - sums[bounds[:-1]], n
+        return sums[bounds[1:]] - sums[bounds[:-1]], n, np.repeat(np.arange(len(n)), n)[rest], hashes[rest]
+
+
+def _buckets(size: int) -> int:
+    """A power of two, so that signed and unsigned hashes have the same remainder."""
+    return 1 << ((size // 16).bit_length() - 1)
 
 
 class _Descent:
@@ -224,7 +273,8 @@ def train(docs: DataFrame, *, rounds: int = 2, text_col: str = "text") -> Scorer
 
     Every word of every document is a target once: round k takes the positions k,
     k + rounds, ...  What is gathered is the word counts (a shuffle of each task's
-    distinct words) and the weights of every task; both grow with the input.
+    distinct words) and the weights of every task; both grow with the input.  On the
+    driver meet the counts of at most COUNTED words and of the buckets.
     """
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
@@ -235,15 +285,30 @@ def train(docs: DataFrame, *, rounds: int = 2, text_col: str = "text") -> Scorer
                 h, n = np.unique(words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], lower=True).hashes, return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    counted = texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
-    top = counted.orderBy(F.desc("n"), "word").limit(KNOWN).collect()
-    vocabulary = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
-    counts = np.ones(VOCABULARY)
-    counts[1 : len(top) + 1] = [r.n for r in top]
-    counts[-OTHERS:] = max(1.0, counts[1 : len(top) + 1].sum() / OTHERS)
-    scorer = Scorer(vocabulary, _initial(counts))
+    spark, table = docs.sparkSession, shared_dir(docs.sparkSession)
+    texts.mapInArrow(count, "word long, n long").groupBy("word").agg(F.sum("n").alias("n")).write.parquet(table)
+    counted = spark.read.schema("word long, n long").parquet(table)
+    tier = F.floor(F.log2("n") * 8)
+    tiers = counted.groupBy(tier.alias("tier")).agg(F.count(F.lit(1)).alias("words"), F.sum("n").alias("n")).orderBy(F.desc("tier")).collect()
+    side = max(CLASSES, round(GROWTH * sum(t.n for t in tiers) ** 0.25))
+    size, others = side * side, _buckets(side * side)
+    most = max(COUNTED, size)
+    least = min((t.tier for t, total in zip(tiers, np.cumsum([t.words for t in tiers]), strict=True) if total <= most), default=1 << 20)
+    top = counted.filter(tier >= least).toArrow()
+    vocabulary, counts = top["word"].to_numpy(), top["n"].to_numpy()
+    order = np.lexsort((vocabulary, -counts))
+    vocabulary, counts = vocabulary[order].view(np.uint64), counts[order].astype(np.float64)
+    known = size - others - 1
+    in_bucket = np.zeros(others)
+    for b in counted.groupBy(F.pmod("word", F.lit(others)).alias("bucket")).agg(F.sum("n").alias("n")).collect():
+        in_bucket[b.bucket] = b.n
+    np.subtract.at(in_bucket, (vocabulary[:known] % np.uint64(others)).astype(np.int64), counts[:known])
+    first = np.ones(size)
+    first[1 : len(counts[:known]) + 1] = counts[:known]
+    first[-others:] = in_bucket
+    scorer = Scorer(vocabulary, _initial(first), counts, in_bucket, table)
     for k in range(rounds):
-        scorer = Scorer(vocabulary, _round(texts, scorer, rounds, k))
+        scorer = replace(scorer, weights=_round(texts, scorer, rounds, k))
     return scorer
 
 
@@ -251,17 +316,40 @@ def scored(docs: DataFrame, scorer: Scorer, *, id_col: str = "doc_id", text_col:
     """One row for each document: doc_id, n_tokens, log_prob (natural, summed), mean_log_prob.
 
     A null or empty text has 0 tokens, log_prob 0 and mean_log_prob null.  Whole
-    texts are scored, each row for itself; an empty table gives an empty one.
+    texts are scored, each row for itself; an empty table gives an empty one.  The
+    counts of words outside the frequent ones come by a join on the word; no such word
+    is frequent, so no key is hot, and those seen once add nothing.
     """
-    schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType())])
+    kind = docs.schema[id_col].dataType
+    schema = T.StructType([T.StructField("row", T.LongType()), T.StructField("doc_id", kind), T.StructField("n_tokens", T.LongType()), T.StructField("log_prob", T.DoubleType()), T.StructField("word", T.LongType()), T.StructField("times", T.IntegerType())])
     model = docs.sparkSession.sparkContext.broadcast(scorer)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = model.value
         for batch in batches:
-            data, offsets = buffer_of(batch.column(1))
+            data, offsets = buffer_of(batch.column(2))
             for a, b in slices(offsets):
-                total, n = model.value.log_probabilities(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total)], names=schema.names)
-
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, schema)
+                total, n, text, word = own._sums(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
+                row = batch.column(0).slice(a, b - a)
+                keys = row.to_numpy().astype(np.uint64)
+                yield pa.RecordBatch.from_arrays([row, batch.column(1).slice(a, b - a), pa.array(n.astype(np.int64)), pa.array(total), pa.array(mix(keys.copy()).view(np.int64)), pa.array(np.zeros(b - a, dtype=np.int32))], names=schema.names)
+                if own.table is None or not len(word):
+                    continue
+                order = np.lexsort((word, text))
+                text, word = text[order], word[order]
+                start = np.flatnonzero(np.concatenate([[True], (text[1:] != text[:-1]) | (word[1:] != word[:-1])]))
+                times = np.diff(np.append(start, len(word))).astype(np.int32)
+                for x in range(0, len(start), 1 << 17):
+                    at = start[x : x + (1 << 17)]
+                    none = pa.nulls(len(at))
+                    yield pa.RecordBatch.from_arrays([pa.array(keys[text[at]].view(np.int64)), none.cast(batch.column(1).type), none.cast(pa.int64()), none.cast(pa.float64()), pa.array(word[at].view(np.int64)), pa.array(times[x : x + (1 << 17)])], names=schema.names)
+
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(score, schema)
+    if scorer.table is None:
+        rows = rows.select("doc_id", "n_tokens", "log_prob")
+    else:
+        seen = docs.sparkSession.read.schema("word long, n long").parquet(scorer.table).filter("n > 1")
+        part = rows.join(seen.hint("merge"), "word", "left").groupBy("row")
+        more = F.coalesce(F.sum(F.col("times") * F.ln("n")), F.lit(0.0))
+        rows = part.agg(F.max("doc_id").alias("doc_id"), F.max("n_tokens").alias("n_tokens"), (F.max("log_prob") + more).alias("log_prob")).drop("row")
     return rows.withColumn("mean_log_prob", F.try_divide("log_prob", "n_tokens"))

@@ -175,6 +175,27 @@ def test_lm_score_is_the_sum_of_its_positions():
     assert scorer.log_probabilities(*data)[0][0] == pytest.approx(float(total), rel=1e-5)
 
 
+def test_lm_rare_words_have_their_own_probability(spark, monkeypatch):
+    words = [(f"w{k}", 1 + k % 7) for k in range(4000)]
+    docs = spark.createDataFrame([(k, " ".join([w] * n)) for k, (w, n) in enumerate(words)], "doc_id long, text string").repartition(3)
+    alone = spark.createDataFrame([(k, w) for k, (w, _) in enumerate(words)], "doc_id long, text string")
+    found = []
+    for counted in (1 << 16, 2000):
+        monkeypatch.setattr(lm_scoring, "COUNTED", counted)
+        scorer = lm_scoring.train(docs, rounds=0)
+        assert (len(scorer.vocabulary) == 4000) == (counted > 4000)
+        found.append({r.doc_id: r.log_prob for r in lm_scoring.scored(alone, scorer).collect()})
+    assert 0.98 < sum(np.exp(list(found[1].values()))) <= 1.0 + 1e-6
+    assert all(found[0][k] == pytest.approx(found[1][k], rel=1e-6) for k in found[0])
+    assert sum(found[1][k] for k in range(6, 4000, 7)) > sum(found[1][k] for k in range(0, 4000, 7)) 
+
+
+def test_lm_vocabulary_grows(spark):
+    docs = spark.range(20).selectExpr("id AS doc_id", "array_join(transform(sequence(0, 299999), x -> concat('w', x % 3000)), ' ') AS text")
+    scorer = lm_scoring.train(docs, rounds=0)
+    assert scorer.size == round(lm_scoring.GROWTH * 6_000_000**0.25) ** 2 > lm_scoring.VOCABULARY
+
+
 def test_boosting_learns_an_interaction():
     x = np.random.default_rng(1).random((2000, 4))
     y = ((x[:, 0] > 0.5) != (x[:, 1] > 0.5)).astype(float)
