@@ -12,9 +12,9 @@ _PART = re.compile(r"[A-Za-z][a-z]*")
 
 # Fixed values of HTML: elements without an end tag, without readable content, and inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-DROPPED = frozenset("head script style noscript template svg iframe object canvas audio video select datalist textarea button math title".split())
+DROPPED = frozenset("script style noscript template svg iframe object canvas audio video select datalist textarea button annotation annotation-xml title".split())
 RAW = frozenset("script style noscript template iframe textarea title".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var".split())
+INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var math maction menclose merror mfenced mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup mtable mtd mtext mtr munder munderover none semantics".split())
 #: An opening tag closes open elements of these names up to a boundary.
 CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"})}
 
@@ -57,13 +57,43 @@ def _signs(attributes: str) -> tuple:
     return tuple(found)
 
 
+def _after_raw(page: str, place: int, tag: str) -> int:
+    """Behind the end tag of an element whose content is no markup."""
+    end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, place)
+    closed = _TOKEN.match(page, end.start()) if end else None
+    return closed.end() if closed else len(page)
+
+
+def _after_dropped(page: str, place: int, tag: str, at: Node) -> tuple[bool, int]:
+    """(whether the element ends before what is around it does, behind its end tag or where it was missed)."""
+    opened: dict[str, int] = {}
+    while m := _TOKEN.search(page, place):
+        place, name = m.end(), (m[2] or "").lower()
+        if m[1]:
+            if name == tag:
+                return True, place
+            if opened.get(name):
+                opened[name] -= 1
+                continue
+            up = at
+            while up is not None and up.tag != name:
+                up = up.parent
+            if up is not None or name in ("body", "html"):
+                return False, m.start()
+        elif name in RAW and not m[3].endswith("/"):
+            place = _after_raw(page, place, name)
+        elif name and name not in VOID and not m[3].endswith("/"):
+            opened[name] = opened.get(name, 0) + 1
+    return False, len(page)
+
+
 def parse(page: str) -> list[Node]:
     """All nodes of the page in document order, parents first; the first is the root."""
     root = Node("root", None)
     nodes, at, place, n = [root], root, 0, len(page)
     run: list[str] = []
     linked, link_depth, run_tags, run_linked = 0, 0, 0, 0
-    skip = ""
+    missed: dict[str, int] = {}
 
     def flush() -> None:
         nonlocal run, run_linked, run_tags
@@ -80,7 +110,7 @@ def parse(page: str) -> list[Node]:
     while place < n:
         m = _TOKEN.search(page, place)
         begin = m.start() if m else n
-        if begin > place and not skip:
+        if begin > place:
             text = html.unescape(page[place:begin]) if "&" in page[place:begin] else page[place:begin]
             run.append(text)
             if link_depth:
@@ -92,15 +122,6 @@ def parse(page: str) -> list[Node]:
         if not tag:
             continue
         closing = bool(m[1])
-        if skip:
-            if closing and tag == skip:
-                skip = ""
-            elif skip == "head" and not closing and tag == "body":
-                skip = ""
-            else:
-                continue
-            if closing:
-                continue
         if closing:
             if tag in INLINE:
                 if tag == "a":
@@ -118,12 +139,13 @@ def parse(page: str) -> list[Node]:
             if m[3].endswith("/"):
                 continue
             if tag in RAW:
-                end = re.compile(rf"</{re.escape(tag)}[\s/>]", re.I).search(page, place)
-                place = end.start() if end else n
-                closed = _TOKEN.match(page, place)
-                place = closed.end() if closed else n
-            else:
-                skip = tag
+                place = _after_raw(page, place, tag)
+            elif place > missed.get(tag, 0):
+                ends, to = _after_dropped(page, place, tag, at)
+                if ends:
+                    place = to
+                else:
+                    missed[tag] = to
             continue
         if tag in VOID:
             if tag in ("br", "hr", "wbr", "img"):
@@ -136,7 +158,7 @@ def parse(page: str) -> list[Node]:
             continue
         flush()
         link_depth = 0
-        if tag in ("html", "body"):
+        if tag in ("html", "head", "body"):
             if tag == "body":
                 root.signs += _signs(m[3])
             continue

@@ -232,6 +232,23 @@ def test_extraction_edges(spark, page, text):
     assert (row.page_id, row.url, row.text, row.n_chars) == (1, "u", text, len(text))
 
 
+@pytest.mark.parametrize(
+    ("before", "inside", "kept"),
+    [
+        ("<html><head><title>T</title><meta charset=x>", "", ""),
+        ("<html><head><title>T</title></head><body>", "<button>Share", "Share"),
+        ("<html><head><title>T</title></head><body>", "<object data=x><param name=a>", ""),
+        ("<html><head><title>T</title></head><body>", "<button>Share <div>it</div></button>", ""),
+        ("<html><head><title>T</title></head><body>", "<math><mi>x</mi><mo>=</mo><mn>2</mn><annotation>x=2</annotation></math>", "x=2"),
+    ],
+)
+def test_extraction_with_optional_and_missing_end_tags(before, inside, kept):
+    first, second = "The first line goes on here, with some words.", "Second one is long enough to read, and it has a few more words."
+    page = f"{before}<article><h1>Title</h1><p>{first} {inside}</p><p>{second}</p></article><footer>site</footer>"
+    want = ["Title", first, kept, second] if "<button>" in inside and kept else ["Title", f"{first} {kept}".strip(), second]
+    assert blocks(page, model()) == want
+
+
 def test_extraction_of_the_pages(spark):
     import html
 
