@@ -185,11 +185,18 @@ class WordBpe:
                 short[a:b] += k
         return tokens, short
 
-    def _count_block(self, part: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def _count_block(self, part: np.ndarray, off: np.ndarray, cut: bool = False) -> tuple[np.ndarray, np.ndarray]:
         if not len(part):
             zero = np.zeros(len(off) - 1, dtype=np.int64)
             return zero, zero
         low, starts, ends, odd = self.pretokens(part, off)
+        if odd.any() and not cut:
+            # Only the words with such characters go to the library: a space behind a visible ASCII character begins a pre-token.
+            space = np.flatnonzero((part[1:] == 32) & (part[:-1] > 32) & (part[:-1] < 127)) + 1
+            fine = np.union1d(off, space[odd[np.searchsorted(off, space, side="right") - 1]])
+            at = np.searchsorted(fine, off)
+            tokens, short = self._count_block(part, fine, True)
+            return tuple(np.diff(np.concatenate([[0], np.cumsum(x)])[at]) for x in (tokens, short))
         if odd.any():
             inside = ~odd[np.searchsorted(off, starts, side="right") - 1]
             starts, ends = starts[inside], ends[inside]

@@ -47,6 +47,16 @@ def test_ids_are_the_librarys(texts):
     assert word_bpe(default_path()).counts(*buffer_of(pa.array(texts)))[0].tolist() == [len(x) for x in library(texts)]
 
 
+def test_words_beyond_latin_leave_the_rest_to_the_shortcut():
+    import pyarrow as pa
+
+    from millrace.llm.textcore import buffer_of
+
+    texts = ["the house of the people is “here” and  the <|endoftext|> end\u3000 of it", "", "the 中 of"]
+    tokens, short = word_bpe(default_path()).counts(*buffer_of(pa.array(texts)))
+    assert tokens.tolist() == [len(x) for x in library(texts)] and short[0] >= 8 and short[2] >= 1
+
+
 def test_token_counts(spark):
     texts = [*ODD, "long words " * 100_000]
     got = {r.doc_id: (r.n_bytes, r.n_tokens, r.over_limit) for r in token_counts(frame(spark, texts)).collect()}
