@@ -4,7 +4,8 @@ The tokenizers library merges inside a pre-token only, so a text's ids are those
 of its pre-tokens one after the other.  Pre-tokens of texts up to U+00FF are cut
 here by byte class, as the vocabulary's own pattern cuts them; a distinct one is
 merged by the library's model once and found by its hash from then on.  Texts with other
-characters, or with a special string, go to the library whole.
+characters, or with a special string, go to the library whole (for counts, only their
+words that hold such characters do).
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ import numpy as np
 from millrace.llm.textcore import VALUES, HashMap, ragged, slices, span_hashes
 
 #: Forget the learned pre-tokens at this many, so that a worker's memory stays bounded.
-MOST_PRETOKENS = 1 << 20
+MOST_PRETOKENS = 1 << 18
 
 _SPACE, _LETTER, _NUMBER, _OTHER = range(4)
 
@@ -63,7 +64,7 @@ class WordBpe:
         self.count = np.zeros(1 << 16, dtype=np.int64)
 
     def whole_tokens(self) -> np.ndarray:
-        """Hashes of the vocabulary's strings that the library encodes alone as their own single token."""
+        """Hashes of the vocabulary's strings that the library encodes alone as their own single token, proven one by one."""
         vocabulary = {v: k for k, v in self.library.get_vocab(with_added_tokens=False).items()}
         chars = _byte_characters()
         ids, texts = [], []
@@ -74,7 +75,10 @@ class WordBpe:
                 except (KeyError, UnicodeDecodeError):
                     continue
                 ids.append(i)
-        proven = [t.encode() for t, i, e in zip(texts, ids, self.library.encode_batch(texts, add_special_tokens=False), strict=True) if e.ids == [i]]
+        proven = []
+        for a in range(0, len(texts), 1024):
+            alone = self.library.encode_batch(texts[a : a + 1024], add_special_tokens=False)
+            proven += [t.encode() for t, i, e in zip(texts[a : a + 1024], ids[a : a + 1024], alone, strict=True) if e.ids == [i]]
         ends = np.cumsum([len(t) for t in proven])
         block = np.frombuffer(b"".join(proven), dtype=np.uint8)
         return np.unique(span_hashes(block, np.concatenate([[0], ends[:-1]]), ends, VALUES))
@@ -170,11 +174,11 @@ class WordBpe:
         lengths = np.concatenate(lengths) if lengths else np.empty(0, dtype=np.int64)
         return np.concatenate(ids) if ids else np.empty(0, dtype=np.uint32), np.concatenate([[0], np.cumsum(lengths)]).astype(np.int64)
 
-    def counts(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(tokens of each text, how many of them are whole-token pre-tokens)."""
+    def counts(self, data: np.ndarray, offsets: np.ndarray, whole: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of each text, how many of them are whole-token pre-tokens); whole: what whole_tokens() gave elsewhere."""
         if self.whole is None:
             self.whole = HashMap(17)
-            self.whole.add(self.whole_tokens())
+            self.whole.add(self.whole_tokens() if whole is None else whole)
         tokens, short = np.zeros(len(offsets) - 1, dtype=np.int64), np.zeros(len(offsets) - 1, dtype=np.int64)
         for a, b in slices(offsets, 1 << 18):
             part, off = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]

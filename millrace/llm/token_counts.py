@@ -10,15 +10,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from millrace.llm.bpe import default_path, word_bpe
+from millrace.llm.bpe import WordBpe, default_path, word_bpe
 from millrace.llm.textcore import buffer_of
 
 
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_tokens, n_shortcut, over_limit.
 
-    Which vocabulary strings encode alone as one token is proven first, once for
-    each worker, with the library itself.  Pre-tokens equal to one of them count
+    Which vocabulary strings encode alone as one token is proven offline, once on the
+    driver with the library itself; their hashes (8 bytes for each string of the
+    vocabulary, whatever the input) go to the workers.  Pre-tokens equal to one of them count
     as one; only the rest is merged, each distinct pre-token once (n_shortcut is
     how many took the short way).  No row moves: the operator is one pass.
 
@@ -29,12 +30,15 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
     path = tokenizer or default_path()
     schema = T.StructType([T.StructField("doc_id", docs.schema[id_col].dataType), *(T.StructField(c, T.LongType()) for c in ("n_bytes", "n_tokens", "n_shortcut"))])
 
+    whole = docs.sparkSession.sparkContext.broadcast(WordBpe(path).whole_tokens())
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = word_bpe(path)
         for batch in batches:
             data, offsets = buffer_of(batch.column(1))
-            tokens, short = bpe.counts(data, offsets)
+            tokens, short = bpe.counts(data, offsets, whole.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(short)], names=schema.names)
+        pa.default_memory_pool().release_unused()
 
     counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
