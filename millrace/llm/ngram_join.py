@@ -33,11 +33,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from millrace.llm.components import components
+from millrace.llm.packed import CHANGED, packed, part_edges, parts_for, slice_name, steps_of, unpacked
 from millrace.llm.shared import saved
 from millrace.llm.textcore import buffer_of, mix, ragged, slices, window_hashes, words
 
-#: Bytes of text for each part of the hash space, of which one task holds the grams; most documents of a slice.
-PART_BYTES, SLICE_DOCS = 12 << 20, 1 << 15
+#: Most documents of a slice.
+SLICE_DOCS = 1 << 15
 #: Ranges of hashes that the suffix filter compares.
 RANGES = 32
 #: Most document ids that are broadcast; more are joined by a shuffle.
@@ -75,33 +76,6 @@ def prefix_length(n: np.ndarray, threshold: int) -> np.ndarray:
     return n - -(-n * threshold // 100) + (n > 0)
 
 
-def _packed(*columns: np.ndarray) -> bytes:
-    """Arrays byte plane by byte plane, compressed: the high bytes of small or even numbers cost little."""
-    import zstandard
-
-    head = np.array([len(columns), *(x for c in columns for x in (c.itemsize, len(c)))], dtype="<i8").tobytes()
-    planes = [np.ascontiguousarray(np.ascontiguousarray(c).view(np.uint8).reshape(len(c), c.itemsize).T).tobytes() for c in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes]))
-
-
-def _unpacked(raw: pa.Buffer, kinds: str) -> list[np.ndarray]:
-    """The arrays of _packed(), of these dtype codes."""
-    import zstandard
-
-    body = np.frombuffer(zstandard.decompress(raw), dtype=np.uint8)
-    sizes = body[8 : 8 + 16 * len(kinds)].view("<i8").reshape(-1, 2)
-    at, out = 8 + 16 * len(kinds), []
-    for kind, (item, n) in zip(kinds, sizes.tolist(), strict=True):
-        out.append(np.ascontiguousarray(body[at : at + item * n].reshape(item, n).T).reshape(-1).view(kind))
-        at += item * n
-    return out
-
-
-def _steps(x: np.ndarray) -> np.ndarray:
-    """Differences of ascending hashes; np.cumsum() undoes it."""
-    return np.diff(x, prepend=x.dtype.type(0))
-
-
 _SENT = "part int, slice long, own boolean, body binary"
 _ANSWERED = "slice long, own boolean, entries long, body binary"
 _SIGNED = "doc_id long, n long, sign long, sign2 long, alone long, prefix array<long>, spread array<int>"
@@ -112,7 +86,7 @@ def _sent(rows: DataFrame, width: int, parts: int) -> DataFrame:
 
     A gram comes with its document's place in the slice, or with _MANY and the number of its documents; who they are stays in the slice's own row.
     """
-    edges = np.array([-(-(k << 64) // parts) for k in range(1, parts)], dtype=np.uint64)
+    edges = part_edges(parts)
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -138,14 +112,12 @@ def _sent(rows: DataFrame, width: int, parts: int) -> DataFrame:
                 ids = batch.column(0).slice(a, b - a)
                 known = np.asarray(ids.is_valid())
                 numbers = ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64)
-                # The name holds the content: rows that come in another order when a task is run again make other slices, and _selected() stops.
-                content = mix(signs[0] + mix(numbers.view(np.uint64) + np.uint64(1)) * (np.arange(b - a, dtype=np.uint64) * np.uint64(2) + np.uint64(1))).sum()
-                name = int((mix(np.array([content ^ np.uint64((task << 32) + seq)])) >> np.uint64(1))[0])
+                name = slice_name(task, seq, numbers, signs[0])
                 seq += 1
-                own = _packed(np.array([len(distinct)]), numbers, known.astype(np.uint8), n, *signs, spread, _steps(distinct[many]), held[many].astype(np.uint32), doc[ragged(first[many], held[many])])
+                own = packed(np.array([len(distinct)]), numbers, known.astype(np.uint8), n, *signs, spread, steps_of(distinct[many]), held[many].astype(np.uint32), doc[ragged(first[many], held[many])])
                 cut = np.concatenate([[0], np.searchsorted(distinct, edges), [len(distinct)]])
                 used = np.flatnonzero(np.diff(cut))
-                bodies = [_packed(_steps(distinct[x:y]), holder[x:y], held[x:y][holder[x:y] == _MANY].astype(np.uint32)) for x, y in zip(cut[used], cut[used + 1], strict=True)]
+                bodies = [packed(steps_of(distinct[x:y]), holder[x:y], held[x:y][holder[x:y] == _MANY].astype(np.uint32)) for x, y in zip(cut[used], cut[used + 1], strict=True)]
                 columns = [pa.array([*used.tolist(), name % parts], pa.int32()), pa.array([name] * (len(used) + 1), pa.int64()), pa.array([False] * len(used) + [True]), pa.array([*bodies, own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "slice", "own", "body"])
 
@@ -159,7 +131,7 @@ def _answers(table: pa.Table) -> pa.Table:
     asked = np.flatnonzero(~own)
     grams, holders, counts, sizes = [], [], [], []
     for i in asked:
-        steps, holder, many = _unpacked(bodies[i], "QHI")
+        steps, holder, many = unpacked(bodies[i], "QHI")
         held = np.ones(len(steps), dtype=np.int64)
         held[holder == _MANY] = many
         grams.append(np.cumsum(steps))
@@ -176,7 +148,7 @@ def _answers(table: pa.Table) -> pa.Table:
         at = np.concatenate([[0], np.cumsum(sizes)])
         for i, a, b in zip(asked, at[:-1], at[1:], strict=True):
             keep = a + np.flatnonzero(total[a:b] > 1)
-            out.append((int(names[i]), False, int(b - a), _packed(_steps(gram[keep]), holder[keep], total[keep])))
+            out.append((int(names[i]), False, int(b - a), packed(steps_of(gram[keep]), holder[keep], total[keep])))
     columns = list(zip(*out, strict=True))
     return pa.table([pa.array(columns[0], pa.int64()), pa.array(columns[1]), pa.array(columns[2], pa.int64()), pa.array(columns[3], pa.binary())], names=["slice", "own", "entries", "body"])
 
@@ -186,12 +158,12 @@ def _selected(table: pa.Table, threshold: int) -> pa.Table:
     own = np.flatnonzero(table.column("own").to_numpy())
     bodies = [x.as_buffer() for x in table.column("body")]
     if len(own) != 1:
-        raise RuntimeError("rows came in another order when a task was run again; write the input out first")
-    total, numbers, known, n, sign, sign2, spread, steps, held, docs = _unpacked(bodies[own[0]], "qqBqQQIQIH")
+        raise RuntimeError(CHANGED)
+    total, numbers, known, n, sign, sign2, spread, steps, held, docs = unpacked(bodies[own[0]], "qqBqQQIQIH")
     if total[0] != sum(table.column("entries").to_pylist()):
-        raise RuntimeError("rows came in another order when a task was run again; write the input out first")
+        raise RuntimeError(CHANGED)
     many, starts = np.cumsum(steps), np.cumsum(held, dtype=np.int64) - held
-    parts = [_unpacked(x, "QHq") for i, x in enumerate(bodies) if i != own[0]]
+    parts = [unpacked(x, "QHq") for i, x in enumerate(bodies) if i != own[0]]
     gram = np.concatenate([np.empty(0, dtype=np.uint64), *(np.cumsum(p[0]) for p in parts)])
     holder = np.concatenate([np.empty(0, dtype=np.uint16), *(p[1] for p in parts)])
     count = np.concatenate([np.empty(0, dtype=np.int64), *(p[2] for p in parts)])
@@ -216,8 +188,7 @@ def _selected(table: pa.Table, threshold: int) -> pa.Table:
 
 def _signatures(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, n, sign and sign2 (equal for equal sets), alone (grams that no other document holds), prefix (the rarest of the others, rarest first), spread (grams in each range)."""
-    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    sent = _sent(rows, width, -(-size // PART_BYTES) or 1)
+    sent = _sent(rows, width, parts_for(rows))
     answered = sent.groupBy("part").applyInArrow(_answers, _ANSWERED)
     return answered.groupBy("slice").applyInArrow(lambda table: _selected(table, threshold), _SIGNED)
 
