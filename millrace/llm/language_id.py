@@ -101,7 +101,13 @@ class LanguageId:
         return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", ((F.col("lang_pred") == UNKNOWN) | (F.col("margin") < self.min_margin)).alias("rejected"))
 
     def accepted(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
-        """The documents that are not rejected, with all their columns, in one pass."""
+        """The documents that are not rejected, with all their columns, in one pass.
+
+        Null and empty texts, and texts without a letter, go.  Only the text decides,
+        so rows that repeat it stay or go together, and null ids don't matter.  A text
+        that two languages encode in equally many bytes has no margin and goes.  Other
+        columns, whatever their names, are carried along; an empty table gives an empty one.
+        """
         place = docs.columns.index(text_col)
         model = docs.sparkSession.sparkContext.broadcast(self)
 
@@ -116,15 +122,21 @@ class LanguageId:
 def fit(docs: DataFrame, *, sample_docs: int = 600, piece_chars: int = 400, dictionary_bytes: int = 1 << 17, languages: int = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> LanguageId:
     """Learn dictionaries from labelled documents that are not held out.
 
-    A bounded sample is enough and is the documented limit: of each of the
-    `languages` most frequent labels about sample_docs documents, chosen by a hash of
-    their id, and of each a piece of piece_chars characters at a place that the
-    hash chooses; a dictionary ends at dictionary_bytes.  Labels are counted over
-    all documents.  Null texts and null labels teach nothing.
+    A bounded sample is enough and is the documented limit: of each label about
+    sample_docs documents, chosen by a hash of their id, and of each a piece of
+    piece_chars characters at a place that the hash chooses; a dictionary ends at
+    dictionary_bytes.  Labels are counted over all documents, and no label is left
+    out: a table with more than `languages` of them raises ValueError, since every
+    worker holds a dictionary for each.  Null texts, null labels and null ids (of
+    which nobody can tell whether they are held out) teach nothing; rows that repeat
+    an id teach once.  Of labels with equal counts the lesser name comes first.  An
+    empty table gives a model that answers UNKNOWN.  Only the three columns are read.
     """
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"), F.col(lang_col).cast("string").alias("lang"))
-    rows = rows.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
-    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages).collect()
+    rows = rows.filter(F.col("doc_id").isNotNull() & F.col("lang").isNotNull() & F.col("text").isNotNull() & ~held_out(F.col("doc_id")))
+    counts = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(languages + 1).collect()
+    if len(counts) > languages:
+        raise ValueError(f"more than {languages} labels; raise languages")
     if not counts:
         return LanguageId({}, **options)
     span = 1 << 40
@@ -132,7 +144,8 @@ def fit(docs: DataFrame, *, sample_docs: int = 600, piece_chars: int = 400, dict
     order = F.pmod(F.xxhash64("doc_id"), F.lit(span))
     chosen = rows.withColumn("order", order).join(F.broadcast(cuts), "lang").filter("order < cut")
     start = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.greatest(F.lit(1), F.length("text") - piece_chars + 1)) + 1
-    pieces = chosen.select("lang", "order", F.substring("text", start.cast("int"), F.lit(piece_chars)).alias("piece")).collect()
+    pieces = chosen.select("lang", "order", F.substring("text", start.cast("int"), F.lit(piece_chars)).alias("piece"))
+    pieces = pieces.groupBy("lang", "order").agg(F.min("piece").alias("piece")).collect()
     parts: dict[str, list[str]] = {}
     rank = {r.lang: k for k, r in enumerate(counts)}
     for r in sorted(pieces, key=lambda r: (r.lang, r.order, r.piece)):
