@@ -17,6 +17,10 @@ def _length(text: Column) -> Column:
     return F.octet_length(text).cast("long")
 
 
+def _head(text: Column) -> Column:
+    return F.xxhash64(F.substring(text, 1, PREFIX))
+
+
 def _surviving(docs: DataFrame) -> DataFrame:
     """(n_bytes, head) of the groups that still have two rows after the first two levels."""
     lengths = docs.groupBy("n_bytes").count().filter("count > 1").select("n_bytes")
@@ -36,7 +40,7 @@ def exact_duplicates(docs: DataFrame, *, with_digest: bool = False, id_col: str
     hands each row its group can split a hot group, so no task holds a group.
 
     Rows that repeat both id and text count in group_size and are flagged alike.
-    Null ids lose to any other; where a group has only null ids, all are kept.
+    Null ids lose to any other; where a group has only null ids, all are flagged as kept.
     An empty table gives an empty one.  Other columns are not read.
     """
     flags = _flagged(docs, with_digest, id_col, text_col)
@@ -44,9 +48,9 @@ def exact_duplicates(docs: DataFrame, *, with_digest: bool = False, id_col: str
 
 
 def _flagged(docs: DataFrame, all_digests: bool, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, digest (null where no other text has its length and head, unless all are asked for), keep_id, group_size, kept."""
+    """doc_id, n_bytes, head, digest (null where no other text has its length and head, unless all are asked for), keep_id, group_size, kept."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _length(text).alias("n_bytes"), F.xxhash64(F.substring(text, 1, PREFIX)).alias("head"))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("text"), _length(text).alias("n_bytes"), _head(text).alias("head"))
     heads = saved(_surviving(rows.select("n_bytes", "head")))
     few = heads.count() <= BROADCAST_GROUPS
     digest = F.sha2("text", 256)
@@ -55,26 +59,44 @@ def _flagged(docs: DataFrame, all_digests: bool, id_col: str, text_col: str) ->
         survivors = hashed.join(F.broadcast(heads) if few else heads, ["n_bytes", "head"], "left_semi")
     elif few:
         marked = rows.join(F.broadcast(heads.withColumn("again", F.lit(True))), ["n_bytes", "head"], "left")
-        hashed = marked.select("doc_id", "n_bytes", F.when(F.col("again"), digest).alias("digest"))
+        hashed = marked.select("doc_id", "n_bytes", "head", F.when(F.col("again"), digest).alias("digest"))
         survivors = hashed.filter(F.col("digest").isNotNull())
     else:
         hashed = rows.select("doc_id", "n_bytes", "head", digest.alias("digest"))
         survivors = hashed.join(heads, ["n_bytes", "head"], "left_semi")
     groups = survivors.groupBy("n_bytes", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
-    out = hashed.select("doc_id", "n_bytes", "digest").join(groups, ["n_bytes", "digest"], "left")
+    out = hashed.select("doc_id", "n_bytes", "head", "digest").join(groups, ["n_bytes", "digest"], "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
-    return out.select("doc_id", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"))
+    return out.select("doc_id", "n_bytes", "head", "digest", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"), keep.eqNullSafe(F.col("doc_id")).alias("kept"))
 
 
 def without_exact_duplicates(docs: DataFrame, *, broadcast_ids: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents that exact_duplicates() keeps, with all their columns.
-
-    What is dropped is told by id and digest, broadcast while it is little and
-    joined by a shuffle beyond that; rows with a null id go with the group they lose in.
+    """One row of each group of equal texts, the one with the largest id, with all its columns.
+
+    A null text is an empty one, and null ids lose to any other.  Of rows that repeat
+    both id and text (or that all have a null id and equal texts) one stays, any one.
+    Only texts whose length and prefix hash occur twice are hashed in full: what is
+    dropped is told by id, length, prefix hash and then the digest, broadcast while it
+    is little and joined by a shuffle beyond that.  Other columns, whatever their names, are
+    carried along.  An empty table gives an empty one.
     """
-    lost = _flagged(docs, False, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_lost_id"), F.col("digest").alias("_lost_digest"))
-    lost = saved(lost.distinct())
-    side = F.broadcast(lost) if lost.count() <= broadcast_ids else lost
-    digest = F.sha2(F.coalesce(docs[text_col].cast("string"), F.lit("")), 256)
-    return docs.join(side, docs[id_col].eqNullSafe(side["_lost_id"]) & (digest == side["_lost_digest"]), "left_anti")
+    copies = _flagged(docs, False, id_col, text_col).filter("group_size > 1").select("doc_id", "n_bytes", "head", "digest", "kept")
+    copies = saved(copies.groupBy("doc_id", "n_bytes", "head", "digest", "kept").agg(F.count("*").alias("rows")))
+    lost, again = copies.filter(~F.col("kept")), copies.filter(F.col("kept") & (F.col("rows") > 1))
+    kept = _matching(docs, lost, "left_anti", broadcast_ids, id_col, text_col)
+    if again.isEmpty():
+        return kept
+    single = _matching(kept, again, "left_anti", broadcast_ids, id_col, text_col)
+    several = _matching(kept, again, "left_semi", broadcast_ids, id_col, text_col)
+    several = several.withColumn("_named_text", F.coalesce(several[text_col].cast("string"), F.lit("")))
+    return single.unionByName(several.dropDuplicates([id_col, "_named_text"]).drop("_named_text"))
+
+
+def _matching(docs: DataFrame, named: DataFrame, how: str, broadcast_ids: int, id_col: str, text_col: str) -> DataFrame:
+    """docs with or without the rows that named tells; a text's digest is computed where id, length and prefix hash agree."""
+    side = named.select(*(F.col(k).alias(f"_named_{k}") for k in ("doc_id", "n_bytes", "head", "digest")))
+    side = F.broadcast(side) if side.count() <= broadcast_ids else side
+    text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
+    same = docs[id_col].eqNullSafe(side["_named_doc_id"]) & (_length(text) == side["_named_n_bytes"]) & (_head(text) == side["_named_head"])
+    return docs.join(side, same & F.startswith(F.sha2(text, 256), side["_named_digest"]), how)
