@@ -92,20 +92,25 @@ def _powers_of_two(pieces: list[Piece], total: int) -> list[list[Piece]]:
     return out
 
 
-def packed(docs: DataFrame, *, length: int = 2048, end_id: int = 1, group_docs: int = 1024, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def packed(docs: DataFrame, *, length: int = 2048, end_id: int = 1, group_docs: int = 1024, group_bytes: int = 16 << 20, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pieces of all documents in sequences of at most length tokens.
 
-    Documents are dealt at random (by a hash of the row) into groups of about
-    group_docs; each group is packed for itself, so no state is shared and a hot
-    source or language spreads over all groups.  One shuffle moves the token ids.
+    Documents are dealt at random (by a hash of the row and of the partition that it
+    is read in, so that repeated rows spread too) into groups of about group_docs, or
+    of about group_bytes of text where documents are long; each group is packed for
+    itself, so no state is shared and a hot source or language spreads over all groups.
+    One shuffle moves the token ids.
 
     Rows: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.  A
-    null text is empty and still has its end id, hence one piece.  Repeated rows
-    are documents of their own.  An empty table gives no rows.
+    null text is empty and still has its end id, hence one piece.  Repeated rows and
+    rows with a null id are documents of their own.  Of equally long rests the lesser
+    place in the group goes first.  Other columns are not read.  An empty table gives no rows.
     """
     path = tokenizer or default_path()
     key = docs.schema[id_col].dataType
-    groups = max(1, -(-docs.count() // group_docs))
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    n, size = rows.agg(F.count("*"), F.sum(F.octet_length("text"))).first()
+    groups = max(1, -(-n // group_docs), -(-(size or 0) // group_bytes))
     encoded = T.StructType([T.StructField("pack_group", T.LongType()), T.StructField("doc_id", key), T.StructField("ids", T.BinaryType())])
     schema = T.StructType([T.StructField("doc_id", key), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"))])
 
@@ -132,6 +137,5 @@ def packed(docs: DataFrame, *, length: int = 2048, end_id: int = 1, group_docs:
         columns = [table.column("doc_id").combine_chunks().take(pa.array(d)), *(pa.array(x) for x in (s, n, crc, sizes[d], k + (group << 32), at))]
         return pa.Table.from_arrays(columns, names=schema.names)
 
-    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text"), F.lit(groups)).alias("pack_group"), "doc_id", "text")
+    dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).alias("pack_group"), "doc_id", "text")
     return dealt.mapInArrow(encode, encoded).groupBy("pack_group").applyInArrow(pack_group, schema)
