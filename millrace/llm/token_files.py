@@ -26,13 +26,11 @@ def _files(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
-def _put(uri: str, body: bytes, attempt: int) -> None:
-    """Write under a name of this attempt, then rename: a lost or doubled attempt leaves whole files alone."""
+def _put(uri: str, body: bytes) -> None:
     system, path = _files(uri)
     system.create_dir(path.rpartition("/")[0], recursive=True)
-    with system.open_output_stream(f"{path}.{attempt}") as out:
+    with system.open_output_stream(path) as out:
         out.write(body)
-    system.move(f"{path}.{attempt}", path)
 
 
 def write_tokens(docs: DataFrame, folder: str, *, end_id: int = 2, tokenizer: str | None = None, shard_tokens: int = 1 << 22, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[int, int, str, int, int]]:
@@ -42,7 +40,8 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = 2, tokenizer: st
     (partition, part) order hold the corpus in ascending id order.  A null text is
     empty and holds end_id alone; null ids come first; repeated rows each appear.
     The manifest has one row for each file of up to shard_tokens ids: partition,
-    part, path, documents, ids.  Ids must be integers.
+    part, path, documents, ids.  Ids must be integers.  A text of any length lies in
+    one file.  An empty table writes no file and has an empty manifest; other columns are not read.
     """
     path = tokenizer or default_path()
 
@@ -59,8 +58,9 @@ def write_tokens(docs: DataFrame, folder: str, *, end_id: int = 2, tokenizer: st
             n_null = sum(x[1] for x in held)
             bounds = np.concatenate([[0], np.cumsum(np.concatenate([x[2] for x in held]))])
             ids = np.concatenate([x[3] for x in held])
-            name = f"{folder}/tokens-{k:06d}-{part:05d}.mrt"
-            _put(name, pack_shard(known, n_null, bounds, ids), attempt)
+            # Each attempt writes names of its own, and the manifest lists those of the one that counts: a lost or doubled attempt leaves whole files alone.
+            name = f"{folder}/tokens-{k:06d}-{part:05d}-{attempt}.mrt"
+            _put(name, pack_shard(known, n_null, bounds, ids))
             row = pa.RecordBatch.from_pydict({"partition": pa.array([k], pa.int32()), "part": pa.array([part], pa.int32()), "path": [name], "n_docs": [len(bounds) - 1], "n_tokens": [len(ids)]})
             part, held = part + 1, []
             return row
@@ -91,7 +91,8 @@ def read_tokens(spark: SparkSession, manifest: list[tuple[int, int, str, int, in
     """One row for each document of the files: doc_id, start, n_tokens, ids_crc32, and ids (binary, unsigned 32-bit little-endian) if asked.
 
     start counts the ids of all documents before it; it is the running sum of the
-    manifest plus the document's own boundary.
+    manifest plus the document's own boundary.  Null and repeated ids come as they were
+    written; an empty manifest gives an empty table.
     """
     starts, total = [], 0
     for i, (_, _, path, _, n) in enumerate(manifest):
