@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from millrace.llm.textcore import tidied
+
 UNKNOWN = "und"
 _GAP = re.compile(r"[\W\d_]+")
 
@@ -97,7 +99,7 @@ class LanguageId:
                 columns = list(zip(*found, strict=True)) if found else [(), (), ()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(columns[0], pa.string()), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.float64())], names=known.names)
 
-        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, known)
+        rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(run), known)
         return rows.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "margin", ((F.col("lang_pred") == UNKNOWN) | (F.col("margin") < self.min_margin)).alias("rejected"))
 
     def accepted(self, docs: DataFrame, *, text_col: str = "text") -> DataFrame:
@@ -116,7 +118,7 @@ class LanguageId:
                 found = [model.value.predict(t.as_py()) for t in batch.column(place)]
                 yield batch.filter(pa.array([name != UNKNOWN and margin >= model.value.min_margin for name, _, margin in found], pa.bool_()))
 
-        return docs.mapInArrow(run, docs.schema)
+        return docs.mapInArrow(tidied(run), docs.schema)
 
 
 def fit(docs: DataFrame, *, sample_docs: int = 600, piece_chars: int = 400, dictionary_bytes: int = 1 << 17, languages: int = 512, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", **options) -> LanguageId:

@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from millrace.llm.components import components
 from millrace.llm.packed import CHANGED, packed, part_edges, parts_for, slice_name, steps_of, unpacked
 from millrace.llm.shared import saved
-from millrace.llm.textcore import buffer_of, mix, ragged, slices, window_hashes, words
+from millrace.llm.textcore import buffer_of, mix, ragged, slices, tidied, tidied_group, window_hashes, words
 
 #: Most documents of a slice.
 SLICE_DOCS = 1 << 15
@@ -121,7 +121,7 @@ def _sent(rows: DataFrame, width: int, parts: int) -> DataFrame:
                 columns = [pa.array([*used.tolist(), name % parts], pa.int32()), pa.array([name] * (len(used) + 1), pa.int64()), pa.array([False] * len(used) + [True]), pa.array([*bodies, own], pa.binary())]
                 yield pa.RecordBatch.from_arrays(columns, names=["part", "slice", "own", "body"])
 
-    return rows.mapInArrow(send, _SENT)
+    return rows.mapInArrow(tidied(send), _SENT)
 
 
 def _answers(table: pa.Table) -> pa.Table:
@@ -129,22 +129,26 @@ def _answers(table: pa.Table) -> pa.Table:
     names, own = table.column("slice").to_numpy(), table.column("own").to_numpy()
     bodies = [x.as_buffer() for x in table.column("body")]
     asked = np.flatnonzero(~own)
-    grams, holders, counts, sizes = [], [], [], []
+    grams, holders, counts = [], [], []
     for i in asked:
         steps, holder, many = unpacked(bodies[i], "QHI")
-        held = np.ones(len(steps), dtype=np.int64)
+        held = np.ones(len(steps), dtype=np.uint32)
         held[holder == _MANY] = many
         grams.append(np.cumsum(steps))
         holders.append(holder)
         counts.append(held)
-        sizes.append(len(steps))
     out = [(int(names[i]), True, 0, bodies[i].to_pybytes()) for i in np.flatnonzero(own)]
     if len(asked):
+        sizes = [len(x) for x in grams]
         gram, holder, held = np.concatenate(grams), np.concatenate(holders), np.concatenate(counts)
+        del grams, holders, counts
         order = np.argsort(gram, kind="stable")
-        first = np.flatnonzero(np.concatenate([[True], gram[order][1:] != gram[order][:-1]]))
+        ordered = gram[order]
+        first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+        del ordered
         total = np.empty(len(gram), dtype=np.int64)
-        total[order] = np.repeat(np.add.reduceat(held[order], first), np.diff(np.append(first, len(gram))))
+        total[order] = np.repeat(np.add.reduceat(held[order], first, dtype=np.int64), np.diff(np.append(first, len(gram))))
+        del order, first, held
         at = np.concatenate([[0], np.cumsum(sizes)])
         for i, a, b in zip(asked, at[:-1], at[1:], strict=True):
             keep = a + np.flatnonzero(total[a:b] > 1)
@@ -189,8 +193,8 @@ def _selected(table: pa.Table, threshold: int) -> pa.Table:
 def _signatures(rows: DataFrame, width: int, threshold: int) -> DataFrame:
     """doc_id, n, sign and sign2 (equal for equal sets), alone (grams that no other document holds), prefix (the rarest of the others, rarest first), spread (grams in each range)."""
     sent = _sent(rows, width, parts_for(rows))
-    answered = sent.groupBy("part").applyInArrow(_answers, _ANSWERED)
-    return answered.groupBy("slice").applyInArrow(lambda table: _selected(table, threshold), _SIGNED)
+    answered = sent.groupBy("part").applyInArrow(tidied_group(_answers), _ANSWERED)
+    return answered.groupBy("slice").applyInArrow(tidied_group(lambda table: _selected(table, threshold)), _SIGNED)
 
 
 @dataclass
@@ -213,7 +217,7 @@ def _sets(c: _Corpus, ids: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.ListArray.from_arrays(pa.array(bounds.astype(np.int32)), pa.array(grams.view(np.int64)))], names=["doc_id", "grams"])
 
     side = F.broadcast(ids) if ids.count() <= BROADCAST_DOCS else ids
-    return c.docs.join(side, "doc_id", "left_semi").mapInArrow(extract, "doc_id long, grams array<long>").dropDuplicates(["doc_id"])
+    return c.docs.join(side, "doc_id", "left_semi").mapInArrow(tidied(extract), "doc_id long, grams array<long>").dropDuplicates(["doc_id"])
 
 
 def _needed(threshold: int) -> Column:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from millrace.llm.textcore import mix
 
 #: Bytes of text for each part of the hash space, of which one task holds the hashes.
-PART_BYTES = 12 << 20
+PART_BYTES = 6 << 20
 CHANGED = "rows came in another order when a task was run again; write the input out first"
 
 

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import default_path, word_bpe
-from millrace.llm.textcore import buffer_of, slices
+from millrace.llm.textcore import buffer_of, slices, tidied, tidied_group
 
 Piece = tuple[int, int, int]
 
@@ -138,4 +138,4 @@ def packed(docs: DataFrame, *, length: int = 2048, end_id: int = 1, group_docs:
         return pa.Table.from_arrays(columns, names=schema.names)
 
     dealt = rows.select(F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(groups)).alias("pack_group"), "doc_id", "text")
-    return dealt.mapInArrow(encode, encoded).groupBy("pack_group").applyInArrow(pack_group, schema)
+    return dealt.mapInArrow(tidied(encode), encoded).groupBy("pack_group").applyInArrow(tidied_group(pack_group), schema)

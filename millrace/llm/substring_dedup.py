@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from millrace.llm.packed import PART_BYTES, packed, part_edges, steps_of, unpacked
 from millrace.llm.shared import saved
-from millrace.llm.textcore import Words, buffer_of, slices, window_hashes, words
+from millrace.llm.textcore import Words, buffer_of, slices, tidied, tidied_group, window_hashes, words
 
 #: The longest windows of the first level, in words.
 FIRST = 8
@@ -64,7 +64,7 @@ def _sliced(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["slice", "part", "body", "text", "n_bytes"])
                 name += 1
 
-    return saved(rows.mapInArrow(cut, _SLICE))
+    return saved(rows.mapInArrow(tidied(cut), _SLICE))
 
 
 @dataclass
@@ -137,8 +137,11 @@ def _answer(last: bool, table: pa.Table) -> pa.Table:
     found = [unpacked(x.as_buffer(), "Qq" if last else "QB") for x in table.column("body")]
     at = np.concatenate([[0], np.cumsum([len(x[0]) for x in found])])
     h, own = np.concatenate([np.cumsum(x[0]) for x in found]), np.concatenate([x[1] for x in found])
+    del found
     order = np.argsort(h, kind="stable")
-    first = np.flatnonzero(np.concatenate([[True], h[order][1:] != h[order][:-1]]))
+    ordered = h[order]
+    first = np.flatnonzero(np.concatenate([[True], ordered[1:] != ordered[:-1]]))
+    del ordered
     times = np.diff(np.append(first, len(h)))
     bit = np.empty(len(h), dtype=bool)
     if last:
@@ -247,15 +250,15 @@ def without_repeats(docs: DataFrame, *, width: int = 13, id_col: str = "doc_id",
         return _kept(own, asked, smaller, width)
 
     texts, none = cut.select("slice", "part", "body", "text"), F.lit(None).cast("binary").alias("text")
-    asking = cut.select("slice", "body", "text").mapInArrow(start, _ROWS)
+    asking = cut.select("slice", "body", "text").mapInArrow(tidied(start), _ROWS)
     state = None
     for level in range(len(lengths)):
         last = level == len(lengths) - 1
-        answers = asking.filter("part >= 0").groupBy("part").applyInArrow(answering(last), _ROWS)
+        answers = asking.filter("part >= 0").groupBy("part").applyInArrow(tidied_group(answering(last)), _ROWS)
         known = answers if state is None else answers.unionByName(state)
         gathered = texts.unionByName(known.select("slice", "part", "body", none)).groupBy("slice")
         if last:
-            return gathered.applyInArrow(end, _KEPT)
-        asking = saved(gathered.applyInArrow(onward(level), _ROWS))
+            return gathered.applyInArrow(tidied_group(end), _KEPT)
+        asking = saved(gathered.applyInArrow(tidied_group(onward(level)), _ROWS))
         state = asking.filter(F.col("part") == _STATE)
     raise AssertionError

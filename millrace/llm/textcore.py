@@ -8,7 +8,8 @@ separators, so memory stays bounded however long a text is.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -183,6 +184,36 @@ def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
+def tidy() -> None:
+    """Give freed memory back to the machine: workers stay, idle, beside the tasks of later stages."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):
+        pass  # another C library
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """run, for mapInArrow, with tidy() at the end of every task."""
+
+    def wrapped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        tidy()
+
+    return wrapped
+
+
+def tidied_group(run: Callable[[pa.Table], pa.Table]) -> Callable[[pa.Table], pa.Table]:
+    """run, for applyInArrow, with tidy() after every group."""
+
+    def wrapped(table: pa.Table) -> pa.Table:
+        out = run(table)
+        tidy()
+        return out
+
+    return wrapped
+
+
 class HashMap:
     """Open addressing from 64-bit hashes (never 0) to 0, 1, 2, ... in order of insertion."""
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from millrace.llm.bpe import WordBpe, default_path, word_bpe
-from millrace.llm.textcore import buffer_of
+from millrace.llm.textcore import buffer_of, tidied
 
 
 def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -38,7 +38,6 @@ def token_counts(docs: DataFrame, *, tokenizer: str | None = None, limit: int =
             data, offsets = buffer_of(batch.column(1))
             tokens, short = bpe.counts(data, offsets, whole.value)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(offsets)), pa.array(tokens), pa.array(short)], names=schema.names)
-        pa.default_memory_pool().release_unused()
 
-    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(count, schema)
+    counted = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(tidied(count), schema)
     return counted.withColumn("over_limit", F.col("n_tokens") > F.lit(limit))
