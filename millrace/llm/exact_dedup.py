@@ -65,6 +65,7 @@ def _flagged(docs: DataFrame, all_digests: bool, id_col: str, text_col: str) ->
         hashed = rows.select("doc_id", "n_bytes", "head", digest.alias("digest"))
         survivors = hashed.join(heads, ["n_bytes", "head"], "left_semi")
     groups = survivors.groupBy("n_bytes", "digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")).filter("group_size > 1")
+    groups = saved(groups)  # else the join would keep the aggregate's partitions, and a hot group could not be split
     out = hashed.select("doc_id", "n_bytes", "head", "digest").join(groups, ["n_bytes", "digest"], "left")
     single = F.col("group_size").isNull()
     keep = F.when(single, F.col("doc_id")).otherwise(F.col("keep_id"))
