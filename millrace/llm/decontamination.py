@@ -74,13 +74,28 @@ def _hint(side: DataFrame, small: bool) -> DataFrame:
     return F.broadcast(side) if small else side
 
 
-def _hits(rows: DataFrame, mark: _Benchmark) -> DataFrame:
-    """(doc_id, print, at, n, item_id) for every occurrence of a window; rows has doc_id, print and text."""
+def _scanned(rows: DataFrame, mark: _Benchmark) -> DataFrame:
+    """doc_id, print, n_words, times (rows alike), candidate: one pass over all texts; a document that holds no gram of the benchmark in its blocks holds no window."""
+    cut = rows.select("doc_id", "print", normalised(F.col("text")).alias("norm"))
+    sizes = sorted({(n + 1) // 2 for n in mark.lengths})
+    blocks = F.concat(*(_blocks(F.col("norm"), b) for b in sizes), F.array(F.lit("")))
+    counted = cut.select("doc_id", "print", _n_words(F.col("norm")).alias("n_words"), blocks.alias("blocks"))  # below the explosion, which would count words for every block
+    each = counted.select("doc_id", "print", "n_words", F.explode("blocks").alias("block"))
+    found = each.join(_hint(mark.grams.withColumn("known", F.lit(True)), mark.small), "block", "left")
+    return found.groupBy("doc_id", "print").agg(F.max("n_words").alias("n_words"), F.count_if(F.col("block") == "").alias("times"), F.coalesce(F.max("known"), F.lit(False)).alias("candidate"))
+
+
+def _candidates(rows: DataFrame, mark: _Benchmark) -> DataFrame:
+    """doc_id, print of the documents of which a block is a gram of the benchmark."""
     cut = rows.select("doc_id", "print", normalised(F.col("text")).alias("norm"))
     sizes = sorted({(n + 1) // 2 for n in mark.lengths})
     blocks = F.concat(*(_blocks(F.col("norm"), b) for b in sizes))
-    found = cut.select("doc_id", "print", F.explode(blocks).alias("block")).join(_hint(mark.grams, mark.small), "block", "left_semi")
-    candidates = saved(found.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print")).distinct())
+    return cut.select("doc_id", "print", F.explode(blocks).alias("block")).join(_hint(mark.grams, mark.small), "block", "left_semi").select("doc_id", "print").distinct()
+
+
+def _hits(rows: DataFrame, mark: _Benchmark, candidates: DataFrame) -> DataFrame:
+    """(doc_id, print, at, n, item_id) for every occurrence of a window in the candidates; rows has doc_id, print and text."""
+    candidates = candidates.select(F.col("doc_id").alias("_id"), F.col("print").alias("_print"))
     side = _hint(candidates, candidates.count() <= BROADCAST_DOCS)
     own = rows.join(side, rows["doc_id"].eqNullSafe(side["_id"]) & (rows["print"] == side["_print"]), "left_semi").select("doc_id", "print", normalised(F.col("text")).alias("norm"))
     every = F.concat(*(_placed(F.col("norm"), n) for n in mark.lengths))
@@ -94,12 +109,18 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def hit_spans(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """doc_id, first, last, item_id: the word positions (from 0, last included) of every window found."""
+    """doc_id, first, last, item_id: the word positions (from 0, last included) of every window found.
+
+    Null and empty texts and items have no words, hence no spans.  Rows that repeat id
+    and text give their spans once; a null id is an id like any other.  Texts of any
+    length are searched whole; other columns are not read; an empty table, or an empty
+    benchmark, gives an empty one.
+    """
     mark = _benchmark(items, window, item_col, item_text_col)
     rows = _rows(docs, id_col, text_col)
     if not mark.lengths:
         return rows.select("doc_id", F.lit(0).alias("first"), F.lit(0).alias("last"), F.lit(None).cast(items.schema[item_col].dataType).alias("item_id")).filter("false")
-    return _hits(rows, mark).select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"), "item_id").distinct()
+    return _hits(rows, mark, saved(_candidates(rows, mark))).select("doc_id", F.col("at").alias("first"), (F.col("at") + F.col("n") - 1).alias("last"), "item_id").distinct()
 
 
 def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
@@ -112,11 +133,11 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     """
     mark = _benchmark(items, window, item_col, item_text_col)
     rows = _rows(docs, id_col, text_col)
-    base = rows.select("doc_id", "print", _n_words(normalised(F.col("text"))).alias("n_words"))
     none = F.array().cast("array<string>")
     if not mark.lengths:
-        return base.select("doc_id", "n_words", F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
-    hits = saved(_hits(rows, mark))
+        return rows.select("doc_id", _n_words(normalised(F.col("text"))).alias("n_words"), F.lit(0).cast("long").alias("n_hit"), none.alias("item_ids"), F.lit(False).alias("contaminated"))
+    base = saved(_scanned(rows, mark))
+    hits = saved(_hits(rows, mark, base.filter("candidate")))
     order = Window.partitionBy("doc_id", "print").orderBy("at")
     spans = hits.groupBy("doc_id", "print", "at").agg(F.max("n").alias("n"))
     before = F.coalesce(F.max(F.col("at") + F.col("n")).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
@@ -127,15 +148,23 @@ def contamination(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col
     found = covered.join(named, same).select(covered["doc_id"].alias("_id"), covered["print"].alias("_print"), "n_hit", "item_ids")
     out = base.join(found, base["doc_id"].eqNullSafe(found["_id"]) & (base["print"] == found["_print"]), "left")
     hit = F.coalesce("n_hit", F.lit(0)).cast("long")
+    out = out.withColumn("time", F.explode(F.sequence(F.lit(1).cast("long"), "times")))
     return out.select("doc_id", "n_words", hit.alias("n_hit"), F.coalesce("item_ids", none).alias("item_ids"), (hit > 0).alias("contaminated"))
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, *, window: int = 10, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
-    """The documents in which no window of the benchmark occurs, with all their columns."""
+    """The documents in which no window of the benchmark occurs, with all their columns.
+
+    Null and empty texts stay, and with an empty benchmark all documents do.  Rows that
+    repeat id and text stay or go together; a null id is an id like any other.  Texts of
+    any length are searched whole.  Other columns, whatever their names, are carried
+    along; an empty table gives an empty one.
+    """
     mark = _benchmark(items, window, item_col, item_text_col)
     if not mark.lengths:
         return docs
-    bad = saved(_hits(_rows(docs, id_col, text_col), mark).select(F.col("doc_id").alias("_bad_id"), F.col("print").alias("_bad_print")).distinct())
+    rows = _rows(docs, id_col, text_col)
+    bad = saved(_hits(rows, mark, saved(_candidates(rows, mark))).select(F.col("doc_id").alias("_bad_id"), F.col("print").alias("_bad_print")).distinct())
     side = _hint(bad, bad.count() <= BROADCAST_DOCS)
     text = F.coalesce(docs[text_col].cast("string"), F.lit(""))
     return docs.join(side, docs[id_col].eqNullSafe(side["_bad_id"]) & (F.xxhash64(text) == side["_bad_print"]), "left_anti")
