@@ -65,17 +65,27 @@ def _softmax(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def _segment_sum(ids: np.ndarray, values: np.ndarray, size: int) -> np.ndarray:
-    out = np.zeros((size, values.shape[1]), dtype=np.float32)
-    order = np.argsort(ids, kind="stable")
+def _log_picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The logarithm of one probability of each row, in x's place, without the others."""
+    x -= x.max(axis=1, keepdims=True)
+    own = x[np.arange(len(x)), pick]
+    np.exp(x, out=x)
+    return np.maximum(own - np.log(x.sum(axis=1)), math.log(1e-30))
+
+
+def _segment_sum(ids: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(distinct ids, the sums of their rows)."""
+    order = np.argsort(ids.astype(np.uint16) if size <= 1 << 16 else ids, kind="stable")
     own = ids[order]
     first = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
-    out[own[first]] = np.add.reduceat(values[order], first, axis=0)
-    return out
+    return own[first], np.add.reduceat(values[order], first, axis=0)
+
 
+def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gradient: bool) -> tuple[np.ndarray, dict]:
+    """(log-probability of each target, gradients of the mean loss if asked); around has a row for each offset.
 
-def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gradient: bool) -> tuple[np.ndarray, dict[str, np.ndarray]]:
-    """(log-probability of each target, gradients of the mean loss if asked); around has a row for each offset."""
+    The gradient of "seen" is, for each offset, the words that were seen and the rows of these alone.
+    """
     n = len(target)
     h = w["bias"] + w["seen"][0][around[0]]
     for k in range(1, len(OFFSETS)):
@@ -84,8 +94,8 @@ def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gr
     classes, class_size, _ = w["to_word"].shape
     cls, own = np.divmod(target.astype(np.int64), class_size)
     rows = np.arange(n)
-    p = _softmax(h @ w["to_class"] + w["class_bias"])
-    log_p = np.log(np.maximum(p[rows, cls], 1e-30))
+    p = h @ w["to_class"] + w["class_bias"]
+    log_p = np.log(np.maximum(_softmax(p)[rows, cls], 1e-30)) if gradient else _log_picked(p, cls)
     order = np.argsort(cls.astype(np.uint16), kind="stable")
     bounds = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))])
     sorted_h, sorted_own = h[order], own[order]
@@ -98,10 +108,12 @@ def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gr
         a, b = bounds[c], bounds[c + 1]
         if a == b:
             continue
-        q = _softmax(sorted_h[a:b] @ w["to_word"][c].T + w["word_bias"][c])
-        pick = np.arange(b - a)
-        within[a:b] = np.log(np.maximum(q[pick, sorted_own[a:b]], 1e-30))
-        if gradient:
+        q = sorted_h[a:b] @ w["to_word"][c].T + w["word_bias"][c]
+        if not gradient:
+            within[a:b] = _log_picked(q, sorted_own[a:b])
+        else:
+            pick = np.arange(b - a)
+            within[a:b] = np.log(np.maximum(_softmax(q)[pick, sorted_own[a:b]], 1e-30))
             q[pick, sorted_own[a:b]] -= 1
             grads["to_word"][c] = q.T @ sorted_h[a:b] / n
             grads["word_bias"][c] = q.sum(axis=0) / n
@@ -115,7 +127,7 @@ def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gr
         to_h *= 1 - h * h
         to_h /= n
         grads["bias"] = to_h.sum(axis=0)
-        grads["seen"] = np.stack([_segment_sum(around[k], to_h, w["seen"].shape[1]) for k in range(len(OFFSETS))])
+        grads["seen"] = [_segment_sum(around[k], to_h, w["seen"].shape[1]) for k in range(len(OFFSETS))]
     return log_p, grads
 
 
@@ -207,6 +219,10 @@ class _Descent:
 
     def step(self, around: np.ndarray, target: np.ndarray) -> None:
         _, grads = network(self.w, around, target, True)
+        for k, (ids, g) in enumerate(grads.pop("seen")):
+            total = self.seen["seen"][k][ids] + g * g
+            self.seen["seen"][k][ids] = total
+            self.w["seen"][k][ids] -= RATE * g / np.sqrt(total)
         for k, g in grads.items():
             self.seen[k] += g * g
             self.w[k] -= RATE * g / np.sqrt(self.seen[k])
