@@ -35,6 +35,8 @@ GROWTH = 2 / 3
 COUNTED = 1 << 16
 OFFSETS = (-2, -1, 1, 2)
 WIDTH, BATCH, RATE = 16, 8192, 0.1
+#: How many positions are scored at once.
+AT_ONCE = 4 * BATCH
 #: How many tasks' weights one task averages.
 FAN_IN = 16
 
@@ -56,21 +58,22 @@ def _initial(counts: np.ndarray, seed: int = 7) -> dict[str, np.ndarray]:
     return {k: v.astype(np.float32) for k, v in out.items()}
 
 
-def _softmax(x: np.ndarray) -> np.ndarray:
-    """Probabilities row by row, in x's place."""
-    top = x.max(axis=1, keepdims=True)
-    x -= top
-    np.exp(x, out=x)
-    x /= x.sum(axis=1, keepdims=True)
-    return x
+#: Scores that stay within this of 0 are exponentiated as they are: neither their exponentials nor a sum of these leave the range of a float.
+NEAR = 75.0
 
 
-def _log_picked(x: np.ndarray, pick: np.ndarray) -> np.ndarray:
-    """The logarithm of one probability of each row, in x's place, without the others."""
-    x -= x.max(axis=1, keepdims=True)
-    own = x[np.arange(len(x)), pick]
-    np.exp(x, out=x)
-    return np.maximum(own - np.log(x.sum(axis=1)), math.log(1e-30))
+def _with_ones(h: np.ndarray) -> np.ndarray:
+    """h with a column of ones, so that one product adds the bias too."""
+    out = np.ones((len(h), h.shape[1] + 1), dtype=h.dtype)
+    out[:, :-1] = h
+    return out
+
+
+def _exponentials(x: np.ndarray, near: bool) -> np.ndarray:
+    """Probabilities up to a factor for each row, in x's place; scores that aren't near 0 are first taken from their row's greatest."""
+    if not near:
+        x -= x.max(axis=1, keepdims=True)
+    return np.exp(x, out=x)
 
 
 def _segment_sum(ids: np.ndarray, values: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -87,43 +90,57 @@ def network(w: dict[str, np.ndarray], around: np.ndarray, target: np.ndarray, gr
     The gradient of "seen" is, for each offset, the words that were seen and the rows of these alone.
     """
     n = len(target)
-    h = w["bias"] + w["seen"][0][around[0]]
+    classes, class_size, width = w["to_word"].shape
+    cls, own = np.divmod(target.astype(np.int32), np.int32(class_size))
+    # positions are worked on by class of their target
+    order = np.argsort(cls.astype(np.uint16), kind="stable")
+    bounds = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))]).tolist()
+    around, cls, own = np.take(around, order, axis=1), cls[order], own[order]
+    h = np.take(w["seen"][0], around[0], axis=0)
     for k in range(1, len(OFFSETS)):
-        h += w["seen"][k][around[k]]
+        h += np.take(w["seen"][k], around[k], axis=0)
+    h += w["bias"]
     np.tanh(h, out=h)
-    classes, class_size, _ = w["to_word"].shape
-    cls, own = np.divmod(target.astype(np.int64), class_size)
-    rows = np.arange(n)
-    p = h @ w["to_class"] + w["class_bias"]
-    log_p = np.log(np.maximum(_softmax(p)[rows, cls], 1e-30)) if gradient else _log_picked(p, cls)
-    order = np.argsort(cls.astype(np.uint16), kind="stable")
-    bounds = np.concatenate([[0], np.cumsum(np.bincount(cls, minlength=classes))])
-    sorted_h, sorted_own = h[order], own[order]
-    within = np.empty(n, dtype=np.float32)
+    # |h| is at most 1, so this bounds every score
+    near = bool((np.abs(w["to_class"]).sum(axis=0) + np.abs(w["class_bias"])).max() < NEAR and (np.abs(w["to_word"]).sum(axis=2) + np.abs(w["word_bias"])).max() < NEAR)
+    one = np.ones(max(classes, class_size), dtype=h.dtype)
+    at = np.arange(n) * classes + cls
+    h1 = _with_ones(h)
+    p = _exponentials(h1 @ np.concatenate([w["to_class"], w["class_bias"][None]]), near)
+    p_sum = p @ one[:classes]
+    p_own = p.ravel()[at]
+    in_q = own + np.arange(n) * class_size
+    q_sum, q_own = np.empty(n, dtype=h.dtype), np.empty(n, dtype=h.dtype)
+    to_word = np.concatenate([w["to_word"], w["word_bias"][:, :, None]], axis=2)
+    room = np.empty((int(np.diff(bounds).max(initial=0)), class_size), dtype=h.dtype)
     grads: dict[str, np.ndarray] = {}
     if gradient:
-        back = np.empty_like(sorted_h)
-        grads["to_word"], grads["word_bias"] = np.zeros_like(w["to_word"]), np.zeros_like(w["word_bias"])
+        back, of_word = np.empty((n, width), dtype=h.dtype), np.zeros_like(to_word)
     for c in range(classes):
         a, b = bounds[c], bounds[c + 1]
         if a == b:
             continue
-        q = sorted_h[a:b] @ w["to_word"][c].T + w["word_bias"][c]
-        if not gradient:
-            within[a:b] = _log_picked(q, sorted_own[a:b])
-        else:
-            pick = np.arange(b - a)
-            within[a:b] = np.log(np.maximum(_softmax(q)[pick, sorted_own[a:b]], 1e-30))
-            q[pick, sorted_own[a:b]] -= 1
-            grads["to_word"][c] = q.T @ sorted_h[a:b] / n
-            grads["word_bias"][c] = q.sum(axis=0) / n
-            back[a:b] = q @ w["to_word"][c]
-    log_p[order] += within
+        q = _exponentials(np.dot(h1[a:b], to_word[c].T, out=room[: b - a]), near)
+        total = np.dot(q, one[:class_size], out=q_sum[a:b])
+        flat, pick = q.ravel(), in_q[a:b] - a * class_size
+        q_own[a:b] = flat[pick]
+        if gradient:
+            # (probability - whether it is the target) times the row's sum; the sum is taken out of the narrower factors
+            flat[pick] -= total
+            np.dot(q.T, h1[a:b] / total[:, None], out=of_word[c])
+            np.dot(q, w["to_word"][c], out=back[a:b])
+    log_p = np.empty(n, dtype=h.dtype)
+    log_p[order] = np.log(np.maximum(p_own / p_sum, 1e-30)) + np.log(np.maximum(q_own / q_sum, 1e-30))
     if gradient:
-        p[rows, cls] -= 1
-        grads["to_class"], grads["class_bias"] = h.T @ p / n, p.sum(axis=0) / n
+        of_word /= n
+        grads["to_word"], grads["word_bias"] = of_word[:, :, :-1], of_word[:, :, -1]
+        p.ravel()[at] -= p_sum
+        of_class = (h1 / p_sum[:, None]).T @ p / n
+        grads["to_class"], grads["class_bias"] = of_class[:-1], of_class[-1]
         to_h = p @ w["to_class"].T
-        to_h[order] += back
+        to_h /= p_sum[:, None]
+        back /= q_sum[:, None]
+        to_h += back
         to_h *= 1 - h * h
         to_h /= n
         grads["bias"] = to_h.sum(axis=0)
@@ -188,9 +205,9 @@ class Scorer:
         """(log_probabilities, and the text and hash of each word that stands outside the frequent ones)."""
         row, where, n, hashes, found = self._placed(data, offsets)
         out = np.empty(len(where))
-        for a in range(0, len(where), BATCH):
-            at = where[a : a + BATCH]
-            out[a : a + BATCH] = network(self.weights, np.stack([row[at + k] for k in OFFSETS]), row[at], False)[0]
+        for a in range(0, len(where), AT_ONCE):
+            at = where[a : a + AT_ONCE]
+            out[a : a + AT_ONCE] = network(self.weights, np.stack([row[at + k] for k in OFFSETS]), row[at], False)[0]
         rest = np.flatnonzero(found < 0)
         if self.counts is not None:
             first = self.size - len(self.in_bucket)

@@ -279,3 +279,25 @@ def test_a_deep_page(spark):
     deep = "<div>" * 3000 + "<p>inside, at last.</p>" + "</div>" * 3000 + "<p" * 50
     assert isinstance(blocks(deep, model()), list)
     assert isinstance(blocks("".join(random.Random(2).choice("<>/ap='\" &;!-") for _ in range(20_000)), model()), list)
+
+
+@pytest.mark.parametrize("scale", [1.0, 200.0])
+def test_lm_scores_near_zero_and_far_from_it(monkeypatch, scale):
+    rng = np.random.default_rng(5)
+    w = lm_scoring._initial(rng.integers(1, 50, lm_scoring.VOCABULARY).astype(float))
+    w["to_class"] *= scale
+    w["to_word"] *= scale
+    around, target = rng.integers(0, lm_scoring.VOCABULARY, (4, 500)), rng.integers(0, lm_scoring.VOCABULARY, 500)
+    plain = {k: v.astype(np.float64) for k, v in w.items()}
+    h = np.tanh(plain["bias"] + sum(plain["seen"][k][around[k]] for k in range(4)))
+    cls, own = np.divmod(target, lm_scoring.CLASS_SIZE)
+    a, b = h @ plain["to_class"] + plain["class_bias"], np.einsum("nw,nsw->ns", h, plain["to_word"][cls]) + plain["word_bias"][cls]
+    want = sum(np.maximum(x[np.arange(500), at] - x.max(axis=1) - np.log(np.exp(x - x.max(axis=1, keepdims=True)).sum(axis=1)), np.log(1e-30)) for x, at in ((a, cls), (b, own)))
+    found = []
+    for near in (75.0, 0.0):
+        monkeypatch.setattr(lm_scoring, "NEAR", near)
+        log_p, grads = lm_scoring.network(w, around, target, True)
+        assert np.allclose(log_p, want, rtol=1e-4, atol=1e-3) and np.allclose(lm_scoring.network(w, around, target, False)[0], want, rtol=1e-4, atol=1e-3)
+        assert all(np.isfinite(grads[k]).all() for k in grads if k != "seen")
+        found.append(grads)
+    assert all(np.allclose(found[0][k], found[1][k], rtol=1e-3, atol=1e-5) for k in found[0] if k != "seen")
